@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from terrella.llm import interleave, licenses, media, pieces
+from terrella.llm import interleave, licenses, media, packing, pieces, quality, simhash
 
 
 def queries():
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op3_license_scan": licenses.op3_license_scan,
+        "op4_simhash": simhash.op4_simhash,
         "op5_media_columns": media.op5_media_columns,
+        "op6_best_two_fit": packing.op6_best_two_fit,
+        "op9_pu_quality": quality.op9_pu_quality,
         "op10_stratified_interleave": interleave.op10_stratified_interleave,
     }
 
