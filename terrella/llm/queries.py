@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrella.llm import interleave, licenses, media, packing, pieces, quality, simhash
+from terrella.llm import interleave, licenses, media, packing, pieces, quality, simhash, substrings
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op4_simhash": simhash.op4_simhash,
         "op5_media_columns": media.op5_media_columns,
         "op6_best_two_fit": packing.op6_best_two_fit,
+        "op7_substring_dedup": substrings.op7_substring_dedup,
         "op9_pu_quality": quality.op9_pu_quality,
         "op10_stratified_interleave": interleave.op10_stratified_interleave,
     }
