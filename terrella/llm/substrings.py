@@ -216,11 +216,12 @@ def duplicate_words(docs: DataFrame, **options) -> DataFrame:
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """`docs`, all rows and columns; repeated words are cut out of the text with the white space after them, and n_chars follows where there is such a column."""
     rows = _with_intervals(docs, repeated_intervals(docs, **options), docs.columns)
-    at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows, 4_000_000, "text"):
-            texts, spans_ = batch.column(at).to_pylist(), batch.column(len(docs.columns)).to_pylist()
+            texts, spans_ = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
             sizes = batch.column(chars).to_pylist() if chars is not None else []
             for i, found in enumerate(spans_):
                 if found and texts[i]:
@@ -230,11 +231,11 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
                     texts[i] = texts[i][: places[0][0]] + "".join(texts[i][p[0] : stop] for p, stop, g in zip(places, stops, gone, strict=True) if not g)
                     if chars is not None:
                         sizes[i] = len(texts[i])
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             if chars is not None:
                 columns[chars] = pa.array(sizes, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, docs.schema)
 
