@@ -76,17 +76,17 @@ class FMIndex:
         self.tree = WaveletMatrix(last, sigma + 1)
         self.first = 1 + np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])[:-1]
 
-    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: int, least: int = 2) -> np.ndarray:
-        """For each place in `ends`, the length (up to `most`) of the longest run ending there that occurs `least` times or more."""
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, most: np.ndarray, least: int = 2) -> np.ndarray:
+        """For each place in `ends`, the length (up to its `most`) of the longest run ending there that occurs `least` times or more."""
         length = np.zeros(len(ends), np.int64)
         alive = np.arange(len(ends))
         low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.rows, np.int64)
-        for step in range(most):
-            at = ends[alive] - step
-            inside = at >= 0
-            alive, low, high, at = alive[inside], low[inside], high[inside], at[inside]
+        for step in range(int(most.max(initial=0))):
+            inside = most[alive] > step
+            alive, low, high = alive[inside], low[inside], high[inside]
             if not len(alive):
                 break
+            at = ends[alive] - step
             symbol = text[at]
             low = self.first[symbol] + self.tree.count(symbol, low)
             high = self.first[symbol] + self.tree.count(symbol, high)

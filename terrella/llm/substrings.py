@@ -22,7 +22,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,35 +33,21 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 35, 8
 #: Words an index holds on average; different spans of a key beyond which it is dealt by whole windows.
 SHARD_WORDS, HOT_SPANS = 1_000_000, 20_000
-#: Bytes, by estimate, up to which what belongs to documents is broadcast to them; more is joined by shuffling.
-BROADCAST_BYTES = 32_000_000
-HASHES_KEPT = 1_000_000
+#: Bytes of text that are hashed in one go.
+HASHED_BYTES = 2_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > HASHES_KEPT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = WordHashes()
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = np.random.default_rng(42).integers(0, 2**64, 256, np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
-            _powers[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, base))])
+            _powers[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4, base))])
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -79,28 +65,83 @@ def content_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.
     return _mixed((sums[stop] - sums[start]) * _power(len(sums))[1][start])
 
 
-def spans(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Key, content hash, start and number of windows of each run of windows that share their least gram."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of UTF-8 text and the byte it starts at."""
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        stop = min(len(data), at + HASHED_BYTES)
+        while stop < len(data) and not _SPACE[data[stop]]:
+            stop += 1
+        part = np.frombuffer(data, np.uint8, stop - at, at)
+        inside = np.concatenate([[False], ~_SPACE[part], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edges[::2], edges[1::2]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * _power(len(part))[0])])
+        hashes.append(_mixed((sums[end] - sums[begin]) * _power(len(sums))[1][begin]))
+        starts.append(begin + at)
+        at = stop
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.array([], np.uint64), np.array([], np.int64))
+
+
+def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Key, content hash, start and number of windows of each run of windows that share their least gram.
+
+    owner: the text each word is of; windows lie in one text.
+    """
     n = len(hashes)
     if n < window:
         empty = np.array([], np.int64)
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty
     grams = n - gram + 1
     sums = prefix_sums(hashes)
-    value = content_hashes(sums, np.arange(grams), np.arange(gram, n + 1))
-    place, width, wanted = np.arange(grams), 1, window - gram + 1
-    least = value
+    least = content_hashes(sums, np.arange(grams), np.arange(gram, n + 1))
+    place, width, wanted = np.arange(grams, dtype=np.int32), 1, window - gram + 1
     while width < wanted:
         step = min(width, wanted - width)
         right = least[step:] < least[:-step]
         place = np.where(right, place[step:], place[:-step])
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         width += step
+    whole = owner[window - 1 :] == owner[: n - window + 1]
+    place = np.where(whole, place, -1)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(first, len(place)))
+    first, count = first[whole[first]], count[whole[first]]
     return least[first], content_hashes(sums, first, first + count + window - 1), first, count
 
 
+def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: np.ndarray, asks: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Span and offset of each window, of the spans that ask, that occurs elsewhere among all spans.
+
+    symbols: the spans' words, each span closed by symbol 0; base: where each begins; count: its windows. A window can only
+    repeat where each of its grams does, which is looked up first. Then each span's last open window is searched
+    backwards through the whole span: the longest repeated run that ends there settles all windows inside it.
+    """
+    index = FMIndex(symbols, sigma)
+    sums = prefix_sums(_mixed(symbols.astype(np.uint64) * _BASE + np.uint64(1)))
+    grams = len(symbols) - gram + 1
+    _, number, times = np.unique(content_hashes(sums, np.arange(grams), np.arange(gram, grams + gram)), return_inverse=True, return_counts=True)
+    single = np.concatenate([[0], np.cumsum(times[number] < 2)])
+    span = np.repeat(np.flatnonzero(asks), count[asks])
+    offset = np.arange(len(span)) - np.repeat(np.cumsum(count[asks]) - count[asks], count[asks])
+    at = base[span] + offset
+    may = single[at + window - gram + 1] == single[at]
+    span, offset = span[may], offset[may]
+    found = np.zeros(len(span), bool)
+    left = np.arange(len(span))
+    while len(left):
+        last = left[np.append(span[left][1:] != span[left][:-1], True)]
+        ends = base[span[last]] + offset[last] + window - 1
+        longest = index.matching_statistics(symbols, ends, ends - base[span[last]] + 1)
+        # Of each open window: the run found in its span reaches back to this offset.
+        reach = (offset[last] + window - longest)[np.searchsorted(last, left)]
+        settled = offset[left] >= reach
+        found[left[settled]] = True
+        settled[np.searchsorted(left, last)] = True
+        left = left[~settled]
+    return span[found], offset[found]
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -116,16 +157,22 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
     gram = min(gram, window)
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 4_000_000, "text"):
-            found = [spans(word_hashes(WORDS.findall(t)), window, gram) for t in text_of(batch.column(2))]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            key, content, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        for batch in batches(rows, 2_000_000, "text"):
+            texts = [t.encode() for t in text_of(batch.column(2))]
+            hashes, begin = word_hashes(b"\n".join(texts))
+            stops = np.cumsum([len(t) + 1 for t in texts])
+            owner = np.searchsorted(stops, begin, side="right")
+            key, content, start, count = spans(hashes, owner, window, gram)
+            at = pa.array(owner[start])
+            start = start - np.searchsorted(owner, owner[start])
             yield pa.RecordBatch.from_arrays([_signed(key), _signed(content), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["key", "content", "doc_id", "rid", "start", "count"])
 
     every = written(named.mapInArrow(cut, "key long, content long, doc_id long, rid long, start int, count int"), "spans")
-    twice = every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Written, so that the join shuffles both sides itself and a key with many spans can be split.
+    twice = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "spans-keys")
     shared = written(every.join(twice, "key", "left_semi"), "spans-shared")
     dropped(every)
+    dropped(twice)
     contents = written(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start", "count")).alias("r")), "spans-contents")
     whole = shared.join(contents.filter("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + F.col("count") + (window - 1)).alias("stop"))
 
@@ -134,14 +181,13 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
     size = open_spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("count") + window - 1), F.lit(0)).alias("words")).first()
     shards = max(1, -(-size["words"] // shard_words))
     wanted = open_spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("key", "hot", "n", "start", "count")).alias("wanted"))
-    wanted = F.broadcast(wanted) if size["n"] * 64 <= BROADCAST_BYTES else wanted
 
     def fetch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4_000_000, "text"):
             out = []
             for doc, rid, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words = WORDS.findall(text or "")
-                sums = prefix_sums(word_hashes(words)) if any(a["hot"] for a in asked) else None
+                sums = prefix_sums(word_hashes((text or "").encode())[0]) if any(a["hot"] for a in asked) else None
                 for a in asked:
                     start, count = a["start"], a["count"]
                     if a["hot"]:
@@ -160,16 +206,12 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
         texts = [w.split(" ") for w in group["words"].to_pylist()]
         number: dict[str, int] = {}
         symbols = np.array([number.setdefault(w, len(number) + 1) if w else 0 for t in texts for w in (*t, "")], np.int64)
-        index = FMIndex(symbols, len(number) + 1)
         start, count, n = (group[c].to_numpy().astype(np.int64) for c in ("start", "count", "n"))
         base = np.concatenate([[0], np.cumsum(count + window)])[:-1]
-        asks = np.flatnonzero(n == 1)
-        owner = np.repeat(asks, count[asks])
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count[asks]) - count[asks], count[asks])
-        long = index.matching_statistics(symbols, base[owner] + offset + window - 1, window) >= window
-        owner, first = owner[long], start[owner[long]] + offset[long]
+        owner, offset = repeated_windows(symbols, len(number) + 1, base, count, n == 1, window, gram)
         at = pa.array(owner)
-        return pa.table({"doc_id": group["doc_id"].take(at), "rid": group["rid"].take(at), "start": pa.array(first.astype(np.int32)), "stop": pa.array((first + window).astype(np.int32))})
+        first = pa.array((start[owner] + offset).astype(np.int32))
+        return pa.table({"doc_id": group["doc_id"].take(at), "rid": group["rid"].take(at), "start": first, "stop": pc.add(first, pa.scalar(window, pa.int32()))})
 
     edges = asked.filter("words IS NOT NULL").groupBy("key").applyInArrow(search, "doc_id long, rid long, start int, stop int")
     windows = asked.filter("words IS NULL")
@@ -189,8 +231,6 @@ def _removed(n: int, found: list | None) -> np.ndarray:
 
 
 def _with_intervals(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("m")).first()
-    found = F.broadcast(found) if size["n"] * 48 + size["m"] * 24 <= BROADCAST_BYTES else found
     keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).withColumn("_doc", F.col("doc_id").cast("long"))
     return keyed.join(found, keyed["_rid"].eqNullSafe(found["rid"]) & keyed["_doc"].eqNullSafe(found["doc_id"]), "left").select(*(keyed[c] for c in columns), found["spans"].alias("_spans"))
 
