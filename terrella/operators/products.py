@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terrella.functions import sky
 from terrella.grid import Grid
-from terrella.operators import runs
+from terrella.operators import disk, runs
 
 #: Rows of body vectors that are broadcast; more are joined by a plain nested loop that streams them.
 VECTORS_BROADCAST = 1_000_000
@@ -44,6 +44,8 @@ sun_elevation = earth_elevation = body_elevation
 
 def sunlight(cells: DataFrame, vectors: DataFrame, grid: Grid, *, bins: int = 1440) -> DataFrame:
     """ts, row, col and value: visible part of the Sun's disk (float)."""
+    if vectors.limit(VECTORS_BROADCAST + 1).count() <= VECTORS_BROADCAST:
+        return disk.visible(cells, vectors, grid)
     part = sky.visible_fraction(F.col("horizon"), F.col("azimuth"), F.col("body_elevation"), bins)
     return looks(cells, vectors, grid).select("ts", "row", "col", part.cast("float").alias("value"))
 
