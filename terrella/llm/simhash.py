@@ -215,10 +215,12 @@ def hex_of(fp: str) -> F.Column:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, that are the first of their component; of rows of one doc_id one stays."""
+    """The rows of `docs`, all columns, that are the first of their component; of rows of one doc_id one stays. Rows without doc_id stay."""
     found = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if kept.groupBy("doc_id").count().filter("count > 1").limit(1).count() else kept
+    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionAll(docs.filter("doc_id IS NULL"))
 
 
 def op4_simhash(spark, sf_dir):
