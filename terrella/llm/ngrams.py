@@ -6,7 +6,7 @@ triples whose frequency reaches a share of all training tokens become states and
 leave over goes down a failure arc to the next shorter history, normalised by what that history gives to the words left. One
 left-to-right traversal of a text carries the state and adds up log10 probabilities.
 
-What is kept of pairs and triples is a share of the tokens at every size (so at most 1 / share of each), counted over all training
+Words are known by 64-bit hashes of their bytes, computed in bulk. What is kept of pairs and triples is a share of the tokens at every size (so at most 1 / share of each), counted over all training
 texts; it is small by proof and is broadcast. The vocabulary is not: texts are grouped into blocks of bounded size, each
 block asks for the counts of its distinct words by a join, and is scored with what comes back.
 
@@ -18,9 +18,7 @@ model spreads its mass over one unseen word; an empty table gives no rows; other
 from __future__ import annotations
 
 import math
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,71 +27,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrella.llm.common import batches, text_of, written
+from terrella.llm.wordhash import text_words
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-#: The end's key: no word holds a space.
-END = " "
+#: Stands for the end among word hashes.
+END = np.uint64(1)
 #: Least share of all training tokens that a kept pair or triple has (and at least 2 occurrences).
 SHARE = 5e-6
-#: Bytes of text a block holds on average; distinct words a task gathers before it hands them on.
-BLOCK_BYTES, GATHERED = 16_000_000, 400_000
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: Bytes of text a block holds on average; tokens a task gathers before it hands their counts on.
+BLOCK_BYTES, GATHERED = 16_000_000, 4_000_000
 
 
-def tokens(text: str) -> list[str]:
-    return [*WORDS.findall(text.lower() if text.isascii() else text.translate(_LOWER)), END]
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of each text followed by its end, and the text each is of."""
+    hashes, owner = text_words([t.encode().lower() for t in texts])  # bytes.lower changes A-Z only
+    out = np.full(len(hashes) + len(texts), END, np.uint64)
+    out[np.arange(len(hashes)) + owner] = hashes
+    return out, np.repeat(np.arange(len(texts)), np.bincount(owner, minlength=len(texts)) + 1)
 
 
 def remainder(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, c over the column `text`."""
+    """word (its hash), c over the column `text`."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        held, n = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+            words, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([_signed(words), pa.array(counts)], ["word", "c"])
 
         for batch in batches(rows, 2_000_000, "text"):
-            for text in text_of(batch.column(0)):
-                counts.update(tokens(text))
-            if len(counts) > GATHERED:
+            held.append(tokens(text_of(batch.column(0)))[0])
+            n += len(held[-1])
+            if n > GATHERED:
                 yield out()
-                counts.clear()
-        yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
 
-    return texts.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+class Numbers:
+    """Numbers 1, 2, .. of the frequent words' hashes; 0 for other words."""
 
+    def __init__(self, words: np.ndarray):
+        order = np.argsort(words)
+        self.words, self.number = words[order], order + 1
 
-def gram_counts(texts: DataFrame, number, base: int) -> DataFrame:
-    """k (2 or 3), g, c of pairs and triples of numbered words; g is written in the base, oldest word first."""
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.number[at], 0)
+
+
+def gram_counts(texts: DataFrame, numbers, base: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """g, c of pairs of numbered words, or, given the kept pairs (sorted), of triples made of two of them.
+
+    g is written in the base, oldest word first. A text begins in the state of an end.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = number.value.get
-        end = get(END, 0)
-        for batch in batches(rows, 8_000_000, "text"):
-            found: list[list[np.ndarray]] = [[], []]
-            for text in text_of(batch.column(0)):
-                words = tokens(text)
-                x = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-                x = np.concatenate([[end], x])
-                for i in (0, 1):
-                    parts = [x[j : len(x) - 1 - i + j] for j in range(i + 2)]
-                    known = np.logical_and.reduce([p > 0 for p in parts])
-                    if i:
-                        known &= parts[1] != end
-                    code = parts[0][known]
-                    for p in parts[1:]:
-                        code = code * base + p[known]
-                    found[i].append(code)
-            for i in (0, 1):
-                g, c = np.unique(np.concatenate(found[i]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i + 2, np.int32)), pa.array(g), pa.array(c)], ["k", "g", "c"])
-
-    return texts.select("text").mapInArrow(run, "k int, g long, c long").groupBy("k", "g").agg(F.sum("c").alias("c"))
+        number = numbers.value
+        end = number(np.array([END], np.uint64))
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            g, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], ["g", "c"])
+
+        for batch in batches(rows, 2_000_000, "text"):
+            # What follows an end is the next text's first word, as if texts were one stream.
+            x = np.concatenate([end, number(tokens(text_of(batch.column(0)))[0])])
+            code = x[:-1] * base + x[1:]
+            code[(x[:-1] == 0) | (x[1:] == 0)] = -1
+            if pairs is not None:
+                at = np.minimum(np.searchsorted(pairs, code), max(0, len(pairs) - 1))
+                kept = (pairs[at] == code) if len(pairs) else np.zeros(len(code), bool)
+                both = kept[:-1] & kept[1:] & (x[1:-1] != end)
+                code = code[:-1][both] * base + x[2:][both]
+            held.append(code[code >= 0])
+            n += len(held[-1])
+            if n > GATHERED:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 class Automaton:
@@ -153,22 +182,60 @@ class Automaton:
         for s in range(1, n):
             self.fall[s] = self.weight[s] + (self.weight[self.fail[s]] if self.fail[s] else 0.0)
 
-    def score(self, numbers: list[int], rare: list[float]) -> float:
-        """numbers: 0 where a word is not frequent; rare: log10 probability without history of those, in order."""
-        arcs, fail, weight, fall, base = self.arcs.get, self.fail, self.weight, self.fall, self.base
-        state, total, at = self.start, 0.0, 0
-        for w in numbers:
-            if not w:
-                total += fall[state] + rare[at]
-                at += 1
-                state = 0
-                continue
-            while (arc := arcs(state * base + w)) is None:
-                total += weight[state]
-                state = fail[state]
-            total += arc[0]
-            state = arc[1]
-        return total
+        keys = np.array(sorted(k for k in self.arcs if k >= base), np.int64)
+        self.keys = keys
+        self.arc_score = np.array([self.arcs[k][0] for k in keys.tolist()], float)
+        self.arc_next = np.array([self.arcs[k][1] for k in keys.tolist()], np.int64)
+        self.root_score = np.array([0.0, *(self.arcs[w][0] for w in range(1, base))])
+        self.root_next = np.array([0, *(self.arcs[w][1] for w in range(1, base))], np.int64)
+        self.fail, self.weight, self.fall = np.array(self.fail), np.array(self.weight), np.array(self.fall)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and next state of reading a frequent word in each state: down failure arcs until one has an arc for it."""
+        score, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        now = state
+        while len(left):
+            w = word[left]
+            at_root = now == 0
+            key = now * self.base + w
+            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+            hit = ~at_root & (self.keys[at] == key) if len(self.keys) else np.zeros(len(left), bool)
+            score[left[at_root]] += self.root_score[w[at_root]]
+            after[left[at_root]] = self.root_next[w[at_root]]
+            score[left[hit]] += self.arc_score[at[hit]]
+            after[left[hit]] = self.arc_next[at[hit]]
+            miss = ~at_root & ~hit
+            score[left[miss]] += self.weight[now[miss]]
+            left, now = left[miss], self.fail[now[miss]]
+        return score, after
+
+    def read(self, words: np.ndarray, first: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The score of each token, left to right. words: numbers, 0 where not frequent; first: where texts begin; rare: scores of the others.
+
+        A word that is not frequent leaves the empty state behind it, so runs between such words are read side by side.
+        """
+        out = np.where(words == 0, rare, 0.0)
+        opens = first.copy()
+        opens[1:] |= words[:-1] == 0
+        begin = np.flatnonzero(opens)
+        stop = np.append(begin[1:], len(words))
+        state = np.where(first[begin], self.start, 0)
+        order = np.argsort(begin - stop, kind="stable")
+        begin, state, size = begin[order], state[order], (stop - begin)[order]
+        j = 0
+        while len(begin):
+            at = begin + j
+            w = words[at]
+            frequent = w > 0
+            score, after = self.step(state[frequent], w[frequent])
+            out[at[frequent]] += score
+            out[at[~frequent]] += self.fall[state[~frequent]]
+            state[frequent] = after
+            j += 1
+            more = int(np.searchsorted(-size, -j, side="left"))
+            begin, state, size = begin[:more], state[:more], size[:more]
+        return out
 
 
 _built: dict[str, Automaton] = {}
@@ -189,15 +256,20 @@ def score_texts(docs: DataFrame, *, share: float = SHARE, block_bytes: int = BLO
     least = max(2, math.ceil(share * total))
 
     # At most total / least words, pairs and triples each reach the share: no more than 1 / share of them.
-    frequent = vocabulary.filter(F.col("c") >= least).orderBy("word").collect()
-    number = {r["word"]: i for i, r in enumerate(frequent, 1)}
-    counts = np.array([0, *(r["c"] for r in frequent)], np.int64)
+    frequent = vocabulary.filter(F.col("c") >= least).orderBy("word").toArrow()
+    known = frequent["word"].to_numpy().astype(np.int64).view(np.uint64)
+    counts = np.array([0, *frequent["c"].to_pylist()], np.int64)
     base = len(counts)
-    end = number.get(END, 0)
+    number = Numbers(known)
+    end = int(number(np.array([END], np.uint64))[0])
     numbers = spark.sparkContext.broadcast(number)
-    grams = gram_counts(training, numbers, base).filter(F.col("c") >= least).collect()
-    pairs = {r["g"]: r["c"] for r in grams if r["k"] == 2}
-    triples = {r["g"]: r["c"] for r in grams if r["k"] == 3 and r["g"] // base in pairs}
+
+    def kept(pairs: np.ndarray | None = None) -> dict[int, int]:
+        found = gram_counts(training, numbers, base, pairs).filter(F.col("c") >= least).toArrow()
+        return dict(zip(found["g"].to_pylist(), found["c"].to_pylist(), strict=True))
+
+    pairs = kept()
+    triples = kept(np.array(sorted(pairs), np.int64)) if pairs else {}
     parts = spark.sparkContext.broadcast((counts, pairs, triples))
 
     name = uuid.uuid4().hex
@@ -206,32 +278,41 @@ def score_texts(docs: DataFrame, *, share: float = SHARE, block_bytes: int = BLO
     blocked = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition("block")
 
     def ask(group: pa.Table) -> pa.Table:
-        known, found = numbers.value, set()
-        for text in group["text"].to_pylist():
-            found.update(tokens(text))
-        found = [w for w in found if w not in known]
-        return pa.table({"block": pa.array([group["block"][0].as_py()] * len(found), pa.int64()), "word": pa.array(found, pa.string())})
+        found = []
+        for chunk in batches(iter(group.select(["text"]).to_batches()), 4_000_000, "text"):
+            words = np.unique(tokens(text_of(chunk.column(0)))[0])
+            found.append(words[numbers.value(words) == 0])
+        found = np.unique(np.concatenate(found))
+        return pa.table({"block": pa.array(np.full(len(found), group["block"][0].as_py(), np.int64)), "word": _signed(found)})
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
         if name not in _built:
             _built.clear()
             _built[name] = Automaton(*parts.value, total, discount, base, end)
-        automaton, known = _built[name], numbers.value
+        automaton, number = _built[name], numbers.value
         floor = total + 0.5 * (kinds + 1)
-        zero = math.log10(0.5 / floor)
-        rare = {w: (math.log10((c - discount) / total), math.log10((c + 0.5) / floor)) for w, c in zip(answers["word"].to_pylist(), answers["c"].to_pylist(), strict=True)}
-        unknown = (new, zero)
-        common = [0.0, *np.log10((counts[1:] + 0.5) / floor).tolist()]
-        out = []
-        for text in group["text"].to_pylist():
-            words = tokens(text)
-            n = [known.get(w, 0) for w in words]
-            seldom = [rare.get(w, unknown) for w, x in zip(words, n, strict=True) if not x]
-            plain = math.fsum([common[x] for x in n if x]) + math.fsum([x[1] for x in seldom])
-            out.append((len(words), len(words) - seldom.count(unknown), plain, automaton.score(n, [x[0] for x in seldom])))
-        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array([x[0] for x in out], pa.int64()), "n_known": pa.array([x[1] for x in out], pa.int64()), "train_tokens": pa.array([total] * len(out), pa.int64()), "base_score": pa.array([x[2] for x in out], pa.float64()), "score": pa.array([x[3] for x in out], pa.float64())})
-
-    asked = blocked.groupBy("block").applyInArrow(ask, "block long, word string")
+        words = answers["word"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(words)
+        words, c = words[order], answers["c"].to_numpy().astype(np.int64)[order]
+        rows = []
+        for chunk in batches(iter(group.select(["text"]).to_batches()), 4_000_000, "text"):
+            token, owner = tokens(text_of(chunk.column(0)))
+            n = number(token)
+            count = counts[n]
+            other = np.flatnonzero(n == 0)
+            if len(words):
+                at = np.minimum(np.searchsorted(words, token[other]), len(words) - 1)
+                count[other] = np.where(words[at] == token[other], c[at], 0)
+            rare = np.zeros(len(token))
+            rare[other] = np.where(count[other] > 0, np.log10(np.maximum(count[other] - discount, 1e-300) / max(total, 1)), new)
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])
+            at = np.flatnonzero(first)
+            plain = np.log10((count + 0.5) / floor)
+            rows.append((np.diff(np.append(at, len(token))), np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(plain, at), np.add.reduceat(automaton.read(n, first, rare), at)))
+        n_tokens, n_known, plain, model = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
+        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(n_tokens), pa.int64()), "base_score": pa.array(plain, pa.float64()), "score": pa.array(model, pa.float64())})
+
+    asked = blocked.groupBy("block").applyInArrow(ask, "block long, word long")
     answers = asked.join(vocabulary, "word").select("block", "word", "c")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -28,60 +28,12 @@ from pyspark.sql import functions as F
 
 from terrella.llm.common import batches, dropped, text_of, written
 from terrella.llm.fmindex import FMIndex
+from terrella.llm.wordhash import mixed, prefix_sums, run_hashes, text_words, word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 35, 8
 #: Words an index holds on average; different spans of a key beyond which it is dealt by whole windows.
 SHARD_WORDS, HOT_SPANS = 1_000_000, 20_000
-#: Bytes of text that are hashed in one go.
-HASHED_BYTES = 2_000_000
-
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BYTE = np.random.default_rng(42).integers(0, 2**64, 256, np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            _powers[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n + n // 4, base))])
-    return _powers[0][:n], _powers[1][:n]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def prefix_sums(hashes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[np.uint64(0)], np.cumsum(hashes * _power(len(hashes))[0])])
-
-
-def content_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of each run of words that depends on its words only."""
-    return _mixed((sums[stop] - sums[start]) * _power(len(sums))[1][start])
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of UTF-8 text and the byte it starts at."""
-    hashes, starts, at = [], [], 0
-    while at < len(data):
-        stop = min(len(data), at + HASHED_BYTES)
-        while stop < len(data) and not _SPACE[data[stop]]:
-            stop += 1
-        part = np.frombuffer(data, np.uint8, stop - at, at)
-        inside = np.concatenate([[False], ~_SPACE[part], [False]])
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edges[::2], edges[1::2]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[part] * _power(len(part))[0])])
-        hashes.append(_mixed((sums[end] - sums[begin]) * _power(len(sums))[1][begin]))
-        starts.append(begin + at)
-        at = stop
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.array([], np.uint64), np.array([], np.int64))
-
 
 def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Key, content hash, start and number of windows of each run of windows that share their least gram.
@@ -94,7 +46,7 @@ def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int
         return empty.view(np.uint64), empty.view(np.uint64), empty, empty
     grams = n - gram + 1
     sums = prefix_sums(hashes)
-    least = content_hashes(sums, np.arange(grams), np.arange(gram, n + 1))
+    least = run_hashes(sums, np.arange(grams), np.arange(gram, n + 1))
     place, width, wanted = np.arange(grams, dtype=np.int32), 1, window - gram + 1
     while width < wanted:
         step = min(width, wanted - width)
@@ -107,7 +59,7 @@ def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(first, len(place)))
     first, count = first[whole[first]], count[whole[first]]
-    return least[first], content_hashes(sums, first, first + count + window - 1), first, count
+    return least[first], run_hashes(sums, first, first + count + window - 1), first, count
 
 
 def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: np.ndarray, asks: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +70,9 @@ def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: n
     backwards through the whole span: the longest repeated run that ends there settles all windows inside it.
     """
     index = FMIndex(symbols, sigma)
-    sums = prefix_sums(_mixed(symbols.astype(np.uint64) * _BASE + np.uint64(1)))
+    sums = prefix_sums(mixed(symbols.astype(np.uint64) + np.uint64(1)))
     grams = len(symbols) - gram + 1
-    _, number, times = np.unique(content_hashes(sums, np.arange(grams), np.arange(gram, grams + gram)), return_inverse=True, return_counts=True)
+    _, number, times = np.unique(run_hashes(sums, np.arange(grams), np.arange(gram, grams + gram)), return_inverse=True, return_counts=True)
     single = np.concatenate([[0], np.cumsum(times[number] < 2)])
     span = np.repeat(np.flatnonzero(asks), count[asks])
     offset = np.arange(len(span)) - np.repeat(np.cumsum(count[asks]) - count[asks], count[asks])
@@ -158,10 +110,7 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 2_000_000, "text"):
-            texts = [t.encode() for t in text_of(batch.column(2))]
-            hashes, begin = word_hashes(b"\n".join(texts))
-            stops = np.cumsum([len(t) + 1 for t in texts])
-            owner = np.searchsorted(stops, begin, side="right")
+            hashes, owner = text_words([t.encode() for t in text_of(batch.column(2))])
             key, content, start, count = spans(hashes, owner, window, gram)
             at = pa.array(owner[start])
             start = start - np.searchsorted(owner, owner[start])
@@ -192,7 +141,7 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
                     start, count = a["start"], a["count"]
                     if a["hot"]:
                         each = np.arange(start, start + count)
-                        out += [(h, a["n"], doc, rid, s, 1, None) for h, s in zip(content_hashes(sums, each, each + window).view(np.int64).tolist(), each.tolist(), strict=True)]
+                        out += [(h, a["n"], doc, rid, s, 1, None) for h, s in zip(run_hashes(sums, each, each + window).view(np.int64).tolist(), each.tolist(), strict=True)]
                     else:
                         out.append((a["key"] % shards, a["n"], doc, rid, start, count, " ".join(words[start : start + count + window - 1])))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
