@@ -527,3 +527,50 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landing_sites(spark, sf_dir):
     return flagship(spark, sf_dir)
 
+
+
+# Text, streaming, storage
+
+
+@_query("SELECT p_partkey AS id, p_name AS name FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '.*in.*ec')")
+def catalog_search(spark, sf_dir):
+    from terrella.functions.text import search_products
+
+    parts = fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    return search_products(parts, "in EC").select("id", "name")
+
+
+@_query("SELECT p_partkey AS id, lower(regexp_replace(regexp_replace(regexp_replace(trim(p_name || ' (' || p_type || ')!'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), '_+', '_', 'g')) AS slug FROM part")
+def slug(spark, sf_dir):
+    from terrella.functions.text import safe_name
+
+    return fx.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), safe_name(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")!"))).alias("slug"))
+
+
+@_query(f"WITH {fx.SERIES_SQL} SELECT row, col, count(v) AS n, CAST(sum(v) AS BIGINT) AS total, {_r('avg(v)', 4)} AS mean, min(v) AS low, max(v) AS high FROM series WHERE v IS NOT NULL GROUP BY row, col")
+def streaming_temporal(spark, sf_dir):
+    from terrella.sources.scratch import scratch_path
+    from terrella.streaming import temporal as streams
+
+    root = scratch_path(spark, "stream")
+    fx.sparse_series(spark, sf_dir).withColumn("valid", F.lit(True)).repartition(4, "ts").write.parquet(f"{root}/in")
+    streams.run_to_table(streams.reduced(streams.layers(spark, f"{root}/in", files_per_trigger=2)), f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").select("row", "col", "n", "total", _rounded(F.col("mean"), 4).alias("mean"), "low", "high")
+
+
+@_query(f"WITH {fx.DEM_SQL} SELECT row, col, v FROM d WHERE row BETWEEN 5 AND 20 AND col BETWEEN 3 AND 30")
+def storage_window(spark, sf_dir):
+    from terrella.sources import rasters
+    from terrella.sources.scratch import scratch_path
+
+    path = scratch_path(spark, "raster")
+    rasters.write(path, fx.dem(spark, sf_dir))
+    r = rasters.read(spark, path, rows=(5, 21), cols=(3, 31))
+    return r.df.select("row", "col", r.v.alias("v"))
+
+
+@_query(None)
+def operations(spark, sf_dir):
+    from terrella.plans import registry
+
+    return registry.frame(spark)

@@ -8,7 +8,7 @@ grids were compared on the driver.
 from __future__ import annotations
 
 import itertools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -36,7 +36,6 @@ class Raster:
     name: str | None = None
     steps: tuple[tuple[str, Column], ...] = ()
     provenance: str | None = None
-    expression: Any = field(default=None, repr=False)
 
     # Making
 
@@ -74,6 +73,12 @@ class Raster:
             table["valid"] = pa.array(np.asarray(valid, bool).ravel())
         return Raster.of(spark.createDataFrame(pa.table(table)), grid, valid="valid" if valid is not None else None, dtype=d, nodata=nodata, units=units, name=name)
 
+    def expression(self):
+        """The raster as a leaf of a named plan."""
+        from terrella.plans.expression import constant
+
+        return constant(self)
+
     # Views
 
     @property
