@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrella.errors import OperationError
 from terrella.functions import sky
 from terrella.grid import Grid
 from terrella.operators import disk, runs
@@ -21,7 +23,7 @@ VECTORS_BROADCAST = 1_000_000
 
 
 def _small(vectors: DataFrame) -> DataFrame:
-    return F.broadcast(vectors) if vectors.limit(VECTORS_BROADCAST + 1).count() <= VECTORS_BROADCAST else vectors
+    return F.broadcast(vectors) if bounded(vectors) else vectors
 
 
 def looks(cells: DataFrame, vectors: DataFrame, grid: Grid) -> DataFrame:
@@ -44,7 +46,7 @@ sun_elevation = earth_elevation = body_elevation
 
 def sunlight(cells: DataFrame, vectors: DataFrame, grid: Grid, *, bins: int = 1440) -> DataFrame:
     """ts, row, col and value: visible part of the Sun's disk (float)."""
-    if vectors.limit(VECTORS_BROADCAST + 1).count() <= VECTORS_BROADCAST:
+    if bounded(vectors):
         return disk.visible(cells, vectors, grid)
     part = sky.visible_fraction(F.col("horizon"), F.col("azimuth"), F.col("body_elevation"), bins)
     return looks(cells, vectors, grid).select("ts", "row", "col", part.cast("float").alias("value"))
@@ -55,8 +57,26 @@ def lightmap(cells: DataFrame, vectors: DataFrame, grid: Grid, *, bins: int = 14
     return sunlight(cells, vectors, grid, bins=bins).withColumn("value", sky.disk_byte(F.col("value").cast("double")).cast("short"))
 
 
+def bounded(vectors: DataFrame) -> bool:
+    return vectors.limit(VECTORS_BROADCAST + 1).count() <= VECTORS_BROADCAST
+
+
+def lightmap_bands(cells: DataFrame, vectors: DataFrame, grid: Grid) -> DataFrame:
+    """row, col and bands: the lightmap's bytes of one cell, in the order of times. A thirtieth of the size of one row a value."""
+
+    def bands(row, col, horizon, sun):
+        return [(row, col, np.floor(disk.fractions(horizon, *sun).astype(np.float32) * 255.0 + 1e-9).astype(np.uint8).tobytes())]
+
+    return disk.per_cell(cells, [vectors], grid, bands, "row int, col int, bands binary")
+
+
 def psr(cells: DataFrame, vectors: DataFrame, grid: Grid, *, bins: int = 1440) -> DataFrame:
     """row, col and value: 255 where the Sun's upper limb never rises over the horizon, else 0."""
+    if bounded(vectors):
+        def dark(row, col, horizon, sun):
+            return [(row, col, 0 if (disk.margins(horizon, *sun) > -sky.SUN_DIAMETER / 2).any() else 255)]
+
+        return disk.per_cell(cells, [vectors], grid, dark, "row int, col int, value smallint")
     margin = F.col("body_elevation") - sky.horizon_at(F.col("horizon"), F.col("azimuth"), bins)
     best = looks(cells, vectors, grid).select("row", "col", margin.alias("m")).groupBy("row", "col").agg(F.max("m").alias("m"))
     return best.select("row", "col", F.when(F.col("m") > F.lit(-sky.SUN_DIAMETER / 2), F.lit(0)).otherwise(F.lit(255)).cast("short").alias("value"))
@@ -80,8 +100,37 @@ def viewpoints(dem: DataFrame, grid: Grid) -> DataFrame:
     return p.join(dem.select("row", "col", "elevation"), ["row", "col"])
 
 
+def _mission_in_place(cells, grid, axis, intervals, stop, bodies, has_sun, fraction, sun_degrees, earth_degrees, output_unit) -> DataFrame:
+    if output_unit not in ("hours", "days"):
+        raise OperationError("output_unit is hours or days.", code="invalid_output_unit", details={"output_unit": output_unit})
+    table = runs.sample_hours(axis, stop).select(F.unix_micros("ts").alias("us"), "hours").orderBy("us").toArrow()
+    us, hours = table["us"].to_numpy(), table["hours"].to_numpy()
+    spans = [(r["iv"], int(np.searchsorted(us, r["a"])), int(np.searchsorted(us, r["b"]))) for r in intervals.select("iv", F.unix_micros("start_ts").alias("a"), F.unix_micros("stop_ts").alias("b")).orderBy("iv").collect()]
+    unit = 24.0 if output_unit == "days" else 1.0
+
+    def durations(row, col, horizon, *looked):
+        ok = np.ones(len(us), bool)
+        sun, earth = (looked[0] if has_sun else None), looked[-1]
+        if fraction is not None:
+            ok &= disk.fractions(horizon, *sun).astype(np.float32) >= np.float32(fraction)
+        if sun_degrees is not None:
+            ok &= disk.margins(horizon, *sun).astype(np.float32) >= np.float32(sun_degrees)
+        if earth_degrees is not None:
+            ok &= disk.margins(horizon, *earth).astype(np.float32) >= np.float32(earth_degrees)
+        left = disk.time_left(ok, hours)
+        return [(row, col, iv, float(left[a:b].max(initial=0.0)) / unit) for iv, a, b in spans]
+
+    return disk.per_cell(cells, bodies, grid, durations, "row int, col int, iv int, duration float")
+
+
 def mission_duration_from(cells: DataFrame, grid: Grid, axis: DataFrame, intervals: DataFrame, *, stop, sun_vectors: DataFrame | None = None, earth_vectors: DataFrame | None = None, sunlight_fraction_threshold: float | None = None, sun_elevation_threshold_deg: float | None = None, earth_elevation_threshold_deg: float | None = None, output_unit: str = "hours", bins: int = 1440) -> DataFrame:
-    """Mission durations of any conjunction of: enough sunlight, Sun high enough, Earth high enough (thresholds included)."""
+    """Mission durations of any conjunction of: enough sunlight, Sun high enough, Earth high enough (thresholds included).
+
+    With bounded vectors a cell's series is made, judged and reduced in one place; only durations leave it.
+    """
+    bodies = [v for v in (sun_vectors, earth_vectors) if v is not None]
+    if all(bounded(v) for v in bodies):
+        return _mission_in_place(cells, grid, axis, intervals, stop, bodies, sun_vectors is not None, sunlight_fraction_threshold, sun_elevation_threshold_deg, earth_elevation_threshold_deg, output_unit)
     parts: list[tuple[DataFrame, float]] = []
     if sunlight_fraction_threshold is not None:
         parts.append((sunlight(cells, sun_vectors, grid, bins=bins), sunlight_fraction_threshold))

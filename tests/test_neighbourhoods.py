@@ -156,3 +156,13 @@ def test_resample(spark, x):
     assert (m == np.repeat(np.repeat(OK, 2, 0), 2, 1)).all() and (v[m] == np.repeat(np.repeat(X, 2, 0), 2, 1)[m]).all()
     with pytest.raises(Exception):
         resample.resample_to(x, half, resampling="bilinear")
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    from terrella.operators.graph import components, numbered
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)], "a long, b long")
+    want = {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+    for limit in (0, 10_000):
+        assert {r["node"]: r["root"] for r in components(edges, in_one_task=limit).collect()} == want
+    assert [r["n"] for r in numbered(spark.range(5, 50, 5).select("id"), "id", "n").orderBy("id").collect()] == list(range(1, 10))

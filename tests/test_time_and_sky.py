@@ -151,3 +151,35 @@ def test_projection_round_trip(spark):
     lat, lon = p.inverse(x, y)
     r = spark.range(1).select(lat.alias("a"), lon.alias("o")).first()
     np.testing.assert_allclose([r["a"], r["o"]], [-1.1, 0.7], rtol=1e-9)
+
+
+def test_series_reduced_in_place_agree_with_tables(spark, monkeypatch):
+    """Products whose series never leave a task against the same products by joins and windows."""
+    rng = np.random.default_rng(12)
+    g = Grid(3, 2, (1000.0, 20.0, 0.0, 2000.0, 0.0, -20.0), Stereographic())
+    cells = spark.createDataFrame([(r, c, 0.0, [float(x) for x in rng.random(64).round(2) * 2 - 1]) for r in range(2) for c in range(3)], "row int, col int, elevation double, horizon array<double>")
+    a = np.arange(60) * 0.4
+    vectors = [spark.createDataFrame([(T0 + timedelta(hours=i), *(float(v) for v in (np.cos(t) * 1.5e11, np.sin(t) * 1.5e11, np.sin(3 * t + k) * 3e9))) for i, t in enumerate(a)], "ts timestamp, x double, y double, z double") for k in (0, 1)]
+    axis = vectors[0].select("ts")
+    iv = runs.fixed_candidate_intervals(spark, T0, T0 + timedelta(hours=60), duration=timedelta(hours=20))
+
+    def made():
+        common = {"stop": T0 + timedelta(hours=60), "sun_vectors": vectors[0], "earth_vectors": vectors[1], "bins": 64}
+        return (
+            sorted(map(tuple, products.psr(cells, vectors[0], g, bins=64).collect())),
+            sorted(map(tuple, products.mission_duration_from(cells, g, axis, iv, sunlight_fraction_threshold=0.5, earth_elevation_threshold_deg=-0.5, **common).collect())),
+            sorted(map(tuple, products.mission_duration_from(cells, g, axis, iv, sun_elevation_threshold_deg=0.0, output_unit="days", **common).collect())),
+            sorted((r["ts"], r["row"], r["col"], r["value"]) for r in products.lightmap(cells, vectors[0], g, bins=64).collect()),
+        )
+
+    fast = made()
+    bands = {(r["row"], r["col"]): list(r["bands"]) for r in products.lightmap_bands(cells, vectors[0], g).collect()}
+    monkeypatch.setattr(products, "bounded", lambda v: False)
+    slow = made()
+    assert fast[0] == slow[0]
+    for i in (1, 2):
+        assert [x[:3] for x in fast[i]] == [x[:3] for x in slow[i]]
+        np.testing.assert_allclose([x[3] for x in fast[i]], [x[3] for x in slow[i]], rtol=1e-6)
+    assert max(abs(x[3] - y[3]) for x, y in zip(fast[3], slow[3], strict=True)) <= 1
+    for row, col in bands:
+        assert bands[row, col] == [x[3] for x in fast[3] if x[1:3] == (row, col)]
