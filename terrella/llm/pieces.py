@@ -35,7 +35,7 @@ MARK = "▁"
 #: Kinds of piece in the model file. Fixed values of the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Chunks kept per worker; the table is emptied when full, which costs time and no result.
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 1_200_000
 #: Symbols up to which the agenda is a plain list scanned for its best entry; longer chunks use a heap.
 SHORT = 40
 
