@@ -2,7 +2,8 @@
 
 Observers are grouped in tiles. Every terrain cell is sent to the tiles that it may be seen from (those within the maximum
 distance), so a tile's task holds a bounded patch and no whole elevation model is ever broadcast. In a task rays are marched for all
-azimuths of a block of observers at once along great circles, in steps of a cell at first that grow with the distance.
+azimuths of a block of observers at once along great circles, in steps of a cell at first that grow with the distance; stretches
+whose highest ground could not raise the horizon found so far are left out, by block maxima.
 """
 
 from __future__ import annotations
@@ -72,25 +73,79 @@ def _geodetic(grid: Grid, col: np.ndarray, row: np.ndarray) -> tuple[np.ndarray,
     return np.where(rho < 1e-9, p.latitude_0, lat), np.where(rho < 1e-9, p.longitude_0, lon)
 
 
-def march(grid: Grid, z: np.ndarray, row0: int, col0: int, rows: np.ndarray, cols: np.ndarray, *, azimuths: int, maximum_m: float, step_m: float, observer_height: float = 0.0) -> np.ndarray:
-    """Horizon degrees (observer, azimuth) over a patch z whose first cell is (row0, col0); -90 where no ground is met."""
+def distances(maximum_m: float, step_m: float, growth: float = 0.002) -> np.ndarray:
+    """Where rays are sampled: steps of step_m at first, then of a share of the distance."""
+    out, at, step = [], step_m, step_m
+    while at <= maximum_m:
+        out.append(at)
+        at += step
+        step = max(step_m, at * growth)
+    return np.array(out)
+
+
+def block_maxima(z: np.ndarray, size: int) -> np.ndarray:
+    """Greatest value of each block of size x size cells and its neighbours; -inf where there is no ground."""
+    h, w = -(-z.shape[0] // size), -(-z.shape[1] // size)
+    full = np.full((h * size, w * size), -np.inf)
+    full[: z.shape[0], : z.shape[1]] = np.where(np.isnan(z), -np.inf, z)
+    top = np.pad(full.reshape(h, size, w, size).max((1, 3)), 1, constant_values=-np.inf)
+    return np.max([top[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
+
+
+def _bound(radius: float, at: np.ndarray, top: np.ndarray, near: float, far: float) -> np.ndarray:
+    """The greatest slope that ground of at most this height can have between two central angles."""
+    k = (radius + at) / (radius + top)
+    ends = np.maximum((math.cos(near) - k) / math.sin(near), (math.cos(far) - k) / math.sin(far))
+    turn = np.arccos(np.minimum(1 / np.maximum(k, 1.0), 1.0))
+    return np.where((k > 1) & (turn > near) & (turn < far), np.maximum(ends, -np.sqrt(np.maximum(k * k - 1, 0))), ends)
+
+
+def march(grid: Grid, z: np.ndarray, row0: int, col0: int, rows: np.ndarray, cols: np.ndarray, *, azimuths: int, maximum_m: float, step_m: float, observer_height: float = 0.0, chunk: int = 16) -> np.ndarray:
+    """Horizon degrees (observer, azimuth) over a patch z whose first cell is (row0, col0); -90 where no ground is met.
+
+    Samples are taken in chunks. A ray leaves a chunk out where the highest ground of the blocks around it could not raise the horizon
+    found so far; chunk = 0 takes every sample.
+    """
     radius = grid.projection.radius
     lat, lon = (x[:, None] for x in _geodetic(grid, cols.astype(float), rows.astype(float)))
     at = z[rows - row0, cols - col0][:, None] + observer_height
     az = np.radians(np.arange(azimuths) * 360.0 / azimuths)[None, :]
-    best = np.full((len(rows), azimuths), -np.inf)
-    distance, step = step_m, step_m
-    while distance <= maximum_m:
-        angle = distance / radius
-        lat1 = np.arcsin(np.clip(np.sin(lat) * math.cos(angle) + np.cos(lat) * math.sin(angle) * np.cos(az), -1, 1))
-        lon1 = lon + np.arctan2(np.sin(az) * math.sin(angle) * np.cos(lat), math.cos(angle) - np.sin(lat) * np.sin(lat1))
+    shape = (len(rows), azimuths)
+    lat, lon, at, az = (np.broadcast_to(x, shape).ravel() for x in (lat, lon, at, az))
+    sin_lat, cos_lat, sin_az, cos_az = np.sin(lat), np.cos(lat), np.sin(az), np.cos(az)
+    best = np.full(lat.shape, -np.inf)
+    samples = distances(maximum_m, step_m)
+    cell = min(grid.pixel_size)
+    levels: dict[int, np.ndarray] = {}
+
+    def places(rays: np.ndarray | slice, angle: float) -> tuple[np.ndarray, np.ndarray]:
+        lat1 = np.arcsin(np.clip(sin_lat[rays] * math.cos(angle) + cos_lat[rays] * math.sin(angle) * cos_az[rays], -1, 1))
+        lon1 = lon[rays] + np.arctan2(sin_az[rays] * math.sin(angle) * cos_lat[rays], math.cos(angle) - sin_lat[rays] * np.sin(lat1))
         c, r = _stereographic(grid, lat1, lon1)
-        height = bilinear(z, c - col0, r - row0)
-        up = (radius + height) * math.cos(angle) - (radius + at)
-        slope = up / ((radius + height) * math.sin(angle))
-        best = np.fmax(best, slope)
-        distance += step
-        step = max(step_m, distance * 0.002)
+        return c - col0, r - row0
+
+    for first in range(0, len(samples), chunk or len(samples) or 1):
+        part = samples[first : first + (chunk or len(samples))] / radius
+        rays: np.ndarray | slice = slice(None)
+        if chunk:
+            size = 4
+            while size * cell < (part[-1] - part[0]) * radius * 0.75 + 2 * cell:
+                size *= 4
+            if size not in levels:
+                levels[size] = block_maxima(z, size)
+            c, r = places(slice(None), float(part[0] + part[-1]) / 2)
+            i, j = np.floor(r / size).astype(np.int64), np.floor(c / size).astype(np.int64)
+            inside = (i >= -1) & (j >= -1) & (i <= levels[size].shape[0]) & (j <= levels[size].shape[1])
+            top = levels[size][np.clip(i, 0, levels[size].shape[0] - 1), np.clip(j, 0, levels[size].shape[1] - 1)]
+            known = inside & np.isfinite(top)
+            rays = np.flatnonzero(known & (_bound(radius, at, np.where(known, top, 0.0), float(part[0]), float(part[-1])) > best))
+            if not len(rays):
+                continue
+        for angle in part.tolist():
+            height = bilinear(z, *places(rays, angle))
+            slope = ((radius + height) * math.cos(angle) - (radius + at[rays])) / ((radius + height) * math.sin(angle))
+            best[rays] = np.fmax(best[rays], slope)
+    best = best.reshape(shape)
     return np.where(np.isfinite(best), np.degrees(np.arctan(best)), -90.0).astype(np.float32)
 
 

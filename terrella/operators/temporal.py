@@ -6,6 +6,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,18 +134,39 @@ def lookup(asked: DataFrame, axis_: DataFrame, *, method: str = "exact") -> Data
     a = F.broadcast(axis_.select(F.col("ts").alias("_t"), "layer")) if method == "exact" else axis_.select(F.col("ts").alias("_t"), "layer")
     if method == "exact":
         return asked.join(a, F.col("ts") == F.col("_t"), "left").drop("_t")
-    # As-of by one ordered pass over the axis as an array: it is bounded by MAX_SAMPLES.
-    whole = a.agg(F.sort_array(F.collect_list(F.struct("_t", "layer"))).alias("_a"))
-    both = asked.crossJoin(F.broadcast(whole))
-    before = F.try_element_at(F.filter("_a", lambda x: x["_t"] <= F.col("ts")), F.lit(-1))
-    after = F.try_element_at(F.filter("_a", lambda x: x["_t"] >= F.col("ts")), F.lit(1))
-    both = both.withColumn("_b", before).withColumn("_f", after)
-    us = F.unix_micros
-    layer = {
-        "before": F.col("_b.layer"), "after": F.col("_f.layer"),
-        "nearest": F.when(F.col("_b").isNull() | F.col("_f").isNull(), F.lit(None).cast("long")).when(us(F.col("ts")) - us(F.col("_b._t")) <= us(F.col("_f._t")) - us(F.col("ts")), F.col("_b.layer")).otherwise(F.col("_f.layer")),
-    }[method]
-    return both.withColumn("layer", layer).drop("_a", "_b", "_f")
+    # The axis is bounded, so it travels with the function, and each Arrow batch is one binary search.
+    held = axis_.select(F.unix_micros("ts").alias("us"), "layer").orderBy("us").limit(MAX_SAMPLES + 1).toArrow()
+    if held.num_rows > MAX_SAMPLES:
+        raise OperationError("The time axis has too many samples.", code="too_many_samples", details={"limit": MAX_SAMPLES})
+    moments, layers = held["us"].to_numpy(), held["layer"].to_pylist()
+    found = _finder(method, moments)
+    position = found(F.unix_micros(F.col("ts").cast("timestamp")))
+    if layers == list(range(len(layers))):
+        return asked.withColumn("layer", position)
+    names = asked.sparkSession.createDataFrame(list(enumerate(layers)), "_i long, layer long")
+    return asked.withColumn("_i", position).join(F.broadcast(names), "_i", "left").drop("_i")
+
+
+def _finder(method: str, moments: np.ndarray):
+    """A vectorised function from microseconds to a place on the axis, NULL where none fits."""
+
+    @F.pandas_udf("long")
+    def find(us: pd.Series) -> pd.Series:
+        t = us.to_numpy(dtype=np.int64)
+        n = len(moments)
+        after = np.searchsorted(moments, t, side="left")
+        before = np.searchsorted(moments, t, side="right") - 1
+        if method == "after":
+            place, ok = after, after < n
+        elif method == "before":
+            place, ok = before, before >= 0
+        else:
+            ok = (after < n) & (before >= 0)
+            a, b = np.clip(after, 0, max(n - 1, 0)), np.clip(before, 0, max(n - 1, 0))
+            place = np.where(t - moments[b] <= moments[a] - t, b, a) if n else after
+        return pd.Series(np.where(ok, place, 0), dtype="Int64").where(pd.Series(ok), pd.NA)
+
+    return find
 
 
 # Reducers

@@ -183,3 +183,16 @@ def test_series_reduced_in_place_agree_with_tables(spark, monkeypatch):
     assert max(abs(x[3] - y[3]) for x, y in zip(fast[3], slow[3], strict=True)) <= 1
     for row, col in bands:
         assert bands[row, col] == [x[3] for x in fast[3] if x[1:3] == (row, col)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaving_out_low_ground_changes_nothing(seed):
+    rng = np.random.default_rng(seed)
+    g = Grid(90, 80, (3000.0, 20.0, 0.0, 5000.0, 0.0, -20.0), Stereographic())
+    z = np.cumsum(np.cumsum(rng.normal(0, 1, (80, 90)), 0), 1) * (0.5 if seed else 0.01)
+    z[rng.random((80, 90)) < 0.02] = np.nan
+    rows, cols = (x[~np.isnan(z[rows_cols])] for rows_cols in [(np.array([5, 40, 60, 79]), np.array([7, 44, 80, 0]))] for x in rows_cols)
+    common = {"azimuths": 72, "maximum_m": 1500.0, "step_m": 20.0}
+    every = horizon.march(g, z, 0, 0, rows, cols, chunk=0, **common)
+    for chunk in (4, 16):
+        np.testing.assert_array_equal(horizon.march(g, z, 0, 0, rows, cols, chunk=chunk, **common), every)
