@@ -246,20 +246,23 @@ class ChunkTable(dict):
             self[c] = struct.pack(f"<{len(ids)}I", *ids)
 
 
+@functools.cache
+def chunk_table(model: str, check: bool) -> ChunkTable:
+    """The worker's table, kept between tasks. (A global used inside a task's own function would be copied anew for each.)"""
+    library = None
+    if check:
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model)
+    return ChunkTable(vocabulary(model), library)
+
+
 def encode(docs: DataFrame, model: str, *, check: bool = True, with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian 32-bit) and decoded text."""
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids + ", decoded string" * with_text
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
-        library = None
-        if check and (model, check) not in _tables:
-            import sentencepiece
-
-            library = sentencepiece.SentencePieceProcessor(model_file=model)
-        if (model, check) not in _tables:
-            _tables[model, check] = ChunkTable(v, library)
-        kept = _tables[model, check]
+        v, kept = vocabulary(model), chunk_table(model, check)
         begin, end = struct.pack("<I", v.begin), struct.pack("<I", v.end)
         for batch in batches(rows, 4_000_000, "text"):
             texts = text_of(batch.column(1))
@@ -290,9 +293,6 @@ def encode(docs: DataFrame, model: str, *, check: bool = True, with_ids: bool =
     return docs.select("doc_id", "text").mapInArrow(run, fields)
 
 
-_tables: dict[tuple[str, bool], ChunkTable] = {}
-
-
 def op1_sentencepiece(spark, sf_dir):
     import public_tokenizers
 
