@@ -241,6 +241,14 @@ class Automaton:
 _built: dict[str, Automaton] = {}
 
 
+def automaton_of(name: str, parts, *facts) -> Automaton:
+    """The worker's automaton, built once and kept between tasks."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Automaton(*parts.value, *facts)
+    return _built[name]
+
+
 def score_texts(docs: DataFrame, *, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -286,10 +294,7 @@ def score_texts(docs: DataFrame, *, share: float = SHARE, block_bytes: int = BLO
         return pa.table({"block": pa.array(np.full(len(found), group["block"][0].as_py(), np.int64)), "word": _signed(found)})
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        if name not in _built:
-            _built.clear()
-            _built[name] = Automaton(*parts.value, total, discount, base, end)
-        automaton, number = _built[name], numbers.value
+        automaton, number = automaton_of(name, parts, total, discount, base, end), numbers.value
         floor = total + 0.5 * (kinds + 1)
         words = answers["word"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(words)
