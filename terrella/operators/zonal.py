@@ -10,12 +10,30 @@ from pyspark.sql import functions as F
 
 from terrella.errors import DTypeError, OperationError
 from terrella.functions import dtypes as D
+from terrella.operators.quantiles import grouped_quantiles
 from terrella.operators.reductions import exact
 from terrella.raster import Raster, aligned
 
 STATISTICS = ("count", "valid_count", "invalid_count", "sum", "mean", "min", "max", "range", "std", "variance", "median", "p25", "p75", "p90")
 
 
+#: Percentiles by name, and the values of a zone up to which one aggregate buffer holds them.
+_SHARES = {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+HELD_VALUES = 5_000_000
+
+
+def _largest(table: DataFrame) -> int:
+    return table.groupBy("zone").agg(F.count("value").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _with_quantiles(table: DataFrame, names: list[str], held: list[str], d: str) -> DataFrame:
+    plain = table.groupBy("zone").agg(F.count("*").alias("_cells"), *(_aggregate(n, d) for n in names if n not in held))
+    x = table.select("zone", F.col("value").cast("int").alias("value") if d == "bool" else "value")
+    q = grouped_quantiles(x, "zone", "value", sorted({_SHARES[n] for n in held}))
+    wide = q.groupBy("zone").agg(*(F.max(F.when(F.col("share") == _SHARES[n], F.col("quantile"))).alias(n) for n in held))
+    return plain.join(wide, "zone", "left").select("zone", *names)
+
+
 def _aggregate(name: str, d: str) -> Column:
     """`value` is NULL where invalid; count takes every cell of the zone."""
     v = F.col("value").cast("int") if d == "bool" else F.col("value")
@@ -40,13 +58,20 @@ def _zoned(values: Raster, zones: Raster, zone_nodata) -> tuple[DataFrame, str]:
     return table, inside
 
 
-def zonal_stats(values: Raster, zones: Raster, *, statistics: Sequence[str] | None = None, include_zone_ids: Sequence | None = None, zone_nodata=None) -> DataFrame:
-    """zone and one column a statistic; value statistics of zones without valid values are NULL."""
+def zonal_stats(values: Raster, zones: Raster, *, statistics: Sequence[str] | None = None, include_zone_ids: Sequence | None = None, zone_nodata=None, held_values: int = HELD_VALUES) -> DataFrame:
+    """zone and one column a statistic; value statistics of zones without valid values are NULL.
+
+    Medians and percentiles of zones with more than held_values values are found by narrowing ranges instead of in one buffer.
+    """
     names = list(STATISTICS[:9] if statistics is None else statistics)
     if not names or len(set(names)) != len(names) or set(names) - set(STATISTICS):
         raise OperationError("Unknown or repeated statistics.", code="invalid_statistics", details={"statistics": names})
     table, inside = _zoned(values, zones, zone_nodata)
-    out = table.filter(inside).groupBy("zone").agg(*(_aggregate(n, values.dtype) for n in names))
+    held = [n for n in names if n in _SHARES]
+    if held and _largest(table.filter(inside)) > held_values:
+        out = _with_quantiles(table.filter(inside), names, held, values.dtype)
+    else:
+        out = table.filter(inside).groupBy("zone").agg(*(_aggregate(n, values.dtype) for n in names))
     if include_zone_ids is not None:
         spark = values.root.sparkSession
         ids = spark.createDataFrame([(i,) for i in sorted(set(include_zone_ids))], f"zone {D.STORAGE[zones.dtype]}")

@@ -166,3 +166,24 @@ def test_components_by_rounds_and_in_one_task(spark):
     for limit in (0, 10_000):
         assert {r["node"]: r["root"] for r in components(edges, in_one_task=limit).collect()} == want
     assert [r["n"] for r in numbered(spark.range(5, 50, 5).select("id"), "id", "n").orderBy("id").collect()] == list(range(1, 10))
+
+
+def test_quantiles_by_narrowing(spark):
+    from terrella.operators.quantiles import grouped_quantiles
+
+    rng = np.random.default_rng(9)
+    groups = {0: rng.normal(0, 1, 3000), 1: np.round(rng.random(500), 1), 2: np.array([7.0]), 3: rng.random(40) * 1e-300, 4: np.array([-1e308, 1.0, 1e308])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [(0, None), (5, None), (0, float("nan"))]
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = grouped_quantiles(spark.createDataFrame(rows, "zone int, v double"), "zone", "v", shares, parts=8, sorted_values=5).collect()
+    assert len(got) == 5 * len(shares)
+    for r in got:
+        if r["zone"] != 4:
+            np.testing.assert_allclose(r["quantile"], np.quantile(groups[r["zone"]], r["share"]), rtol=1e-12)
+
+
+def test_large_zones_have_the_same_percentiles(spark, x):
+    z = Raster.from_array(spark, (np.indices((7, 9)).sum(0) // 6).astype(np.int32), G)
+    names = ["count", "mean", "median", "p25", "p90"]
+    a, b = (zonal.to_records(zonal.zonal_stats(x, z, statistics=names, held_values=n)) for n in (10**9, 3))
+    assert a == b

@@ -196,3 +196,19 @@ def test_leaving_out_low_ground_changes_nothing(seed):
     every = horizon.march(g, z, 0, 0, rows, cols, chunk=0, **common)
     for chunk in (4, 16):
         np.testing.assert_array_equal(horizon.march(g, z, 0, 0, rows, cols, chunk=chunk, **common), every)
+
+
+def test_vectors_between_samples(spark):
+    from terrella.sources import ephemeris
+
+    rows = [("Sun", T0 + timedelta(hours=2 * i), float(i), float(-i), 5.0) for i in range(4)] + [("Earth", T0, 0.0, 0.0, 0.0)]
+    table = spark.createDataFrame(rows, "body string, ts timestamp, x double, y double, z double")
+    axis = temporal.times(spark, T0, T0 + timedelta(hours=6), step_hours=0.5)
+    got = ephemeris.resolve_vectors("sun", axis, ephemeris=table).orderBy("ts").collect()
+    np.testing.assert_allclose([r["x"] for r in got], np.arange(13) / 4)
+    exact = ephemeris.resolve_vectors("sun", axis.filter("layer = 0"), explicit=table.filter("body = 'Sun'"), ephemeris=table)
+    assert exact.count() == 1
+    with pytest.raises(Exception):
+        ephemeris.resolve_vectors("sun", axis, explicit=table)
+    with pytest.raises(Exception):
+        ephemeris.vectors_of(table, "Mars")
