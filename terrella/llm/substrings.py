@@ -36,14 +36,15 @@ WINDOW, GRAM = 35, 8
 SHARD_WORDS, HOT_SPANS = 1_000_000, 20_000
 
 def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Key, content hash, start and number of windows of each run of windows that share their least gram.
+    """Key, content hash, start, number of windows and times of each run of windows that share their least gram.
 
-    owner: the text each word is of; windows lie in one text.
+    owner: the text each word is of; windows lie in one text. One word said over and over gives the same window at each place:
+    such a row of equal spans of one window is given once, with the times it stands there.
     """
     n = len(hashes)
     if n < window:
         empty = np.array([], np.int64)
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty
+        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
     grams = n - gram + 1
     sums = prefix_sums(hashes)
     least = run_hashes(sums, np.arange(grams), np.arange(gram, n + 1))
@@ -59,7 +60,11 @@ def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     count = np.diff(np.append(first, len(place)))
     first, count = first[whole[first]], count[whole[first]]
-    return least[first], run_hashes(sums, first, first + count + window - 1), first, count
+    key, content = least[first], run_hashes(sums, first, first + count + window - 1)
+    again = np.zeros(len(first), bool)
+    again[1:] = (key[1:] == key[:-1]) & (content[1:] == content[:-1]) & (count[1:] == 1) & (count[:-1] == 1) & (first[1:] == first[:-1] + 1)
+    head = np.flatnonzero(~again)
+    return key[head], content[head], first[head], count[head], np.diff(np.append(head, len(first)))
 
 
 def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: np.ndarray, asks: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,22 +116,22 @@ def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRA
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 2_000_000, "text"):
             hashes, owner = text_words([t.encode() for t in text_of(batch.column(2))])
-            key, content, start, count = spans(hashes, owner, window, gram)
+            key, content, start, count, times = spans(hashes, owner, window, gram)
             at = pa.array(owner[start])
             start = start - np.searchsorted(owner, owner[start])
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(content), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["key", "content", "doc_id", "rid", "start", "count"])
+            yield pa.RecordBatch.from_arrays([_signed(key), _signed(content), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32))], ["key", "content", "doc_id", "rid", "start", "count", "times"])
 
-    every = written(named.mapInArrow(cut, "key long, content long, doc_id long, rid long, start int, count int"), "spans")
+    every = written(named.mapInArrow(cut, "key long, content long, doc_id long, rid long, start int, count int, times int"), "spans")
     # Written, so that the join shuffles both sides itself and a key with many spans can be split.
-    twice = written(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "spans-keys")
+    twice = written(every.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"), "spans-keys")
     shared = written(every.join(twice, "key", "left_semi"), "spans-shared")
     dropped(every)
     dropped(twice)
-    contents = written(shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "start", "count")).alias("r")), "spans-contents")
-    whole = shared.join(contents.filter("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + F.col("count") + (window - 1)).alias("stop"))
+    contents = written(shared.groupBy("key", "content").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "rid", "start", "count")).alias("r")), "spans-contents")
+    whole = shared.join(contents.filter("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + F.col("count") + F.col("times") + (window - 2)).alias("stop"))
 
     different = contents.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("key", (F.col("k") > hot_spans).alias("hot"))
-    open_spans = written(contents.join(different, "key").select("key", "hot", F.col("n").cast("int").alias("n"), "r.*"), "spans-open")
+    open_spans = written(contents.join(different, "key").select("key", "hot", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), "spans-open")
     size = open_spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("count") + window - 1), F.lit(0)).alias("words")).first()
     shards = max(1, -(-size["words"] // shard_words))
     wanted = open_spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("key", "hot", "n", "start", "count")).alias("wanted"))
