@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from terrella.llm.common import bits_for, top_bits, written
 
 #: Rows a bucket holds on average; bounds the largest sort of a task.
-ROWS_PER_BUCKET = 16_384
+ROWS_PER_BUCKET = 4_096
 
 
 def interleave(docs: DataFrame, *, stratum: str = "source", shards: int = 16, seed: int = 42, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
