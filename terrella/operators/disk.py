@@ -42,15 +42,15 @@ def fractions(horizon: np.ndarray, azimuth: np.ndarray, elevation: np.ndarray) -
     else:
         cut = np.arange(len(azimuth))
         ring = np.concatenate([horizon] * (2 + width // bins)).astype(np.float64)
-    if len(cut):
-        b, r, e = base[cut], rest[cut], elevation[cut]
-        total = np.zeros(len(cut))
-        for i, h in enumerate(HEIGHTS):
-            q = r + i * step
-            k = np.maximum(np.floor(q), 0).astype(np.int64)
-            left = ring[b + k]
-            total += np.clip(e + h - (left + (q - k) * (ring[b + k + 1] - left)), 0.0, 2 * h)
-        out[cut] = total / (2 * HEIGHTS.sum())
+    for at in range(0, len(cut), 8_192):
+        some = cut[at : at + 8_192]
+        # Slices by times: few, larger array operations.
+        q = rest[some][None, :] + np.arange(sky.SLICES)[:, None] * step
+        k = np.maximum(np.floor(q), 0).astype(np.int64)
+        i = base[some][None, :] + k
+        left = ring[i]
+        shown = elevation[some][None, :] + HEIGHTS[:, None] - (left + (q - k) * (ring[i + 1] - left))
+        out[some] = np.minimum(np.maximum(shown, 0.0), 2 * HEIGHTS[:, None]).sum(0) / (2 * HEIGHTS.sum())
     return out
 
 

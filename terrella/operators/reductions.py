@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from builtins import range as _count
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,7 +73,6 @@ def histogram(raster: Raster, *, bins: int | Sequence[float] = 10, range: tuple[
     return frame.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-_count = __import__("builtins").range
 
 
 def percentile(raster: Raster, q: float | Sequence[float], *, method: str = "exact") -> DataFrame:
