@@ -2,13 +2,18 @@
 
 Tokens are words and one end per text. Words have absolutely discounted frequencies over the whole training vocabulary;
 what the discount frees goes to unseen words, whose number is estimated from the words seen once and twice. Pairs and
-triples whose frequency reaches a share of all training tokens become states and arcs of an automaton; the probability they
+triples seen twice or more in training become states and arcs of an automaton, at every size of the input; the probability they
 leave over goes down a failure arc to the next shorter history, normalised by what that history gives to the words left. One
 left-to-right traversal of a text carries the state and adds up log10 probabilities.
 
-Words are known by 64-bit hashes of their bytes, computed in bulk. What is kept of pairs and triples is a share of the tokens at every size (so at most 1 / share of each), counted over all training
-texts; it is small by proof and is broadcast. The vocabulary is not: texts are grouped into blocks of bounded size, each
-block asks for the counts of its distinct words by a join, and is scored with what comes back.
+No part of the model is collected or broadcast: it grows with the input and stays dealt out. Texts are grouped into blocks of
+bounded size. A block sends its distinct words and pairs, and then the triples made of two kept pairs, with their training counts to buckets of their hashes, and each
+bucket sends back the sums, in the order it was asked, and names for each key one asking block its owner. A history's totals over
+all its arcs come the same way from the owners of the arcs. With both a block builds the part of the automaton that its own texts
+can reach, with the scores and weights of the whole, and reads its texts.
+
+Words, pairs and triples are known by 64-bit hashes. A key has one row in a block however often it occurs, so that no bucket grows
+with a common word or pair.
 
 Cases: a null text counts as empty and is its end alone; a null doc_id is a training row; words never seen in training have
 count 0; repeated rows each count and each give a row; without training rows N and V are 0, the base score is log10 of 0.5 / 0.5 per token, and the
@@ -17,9 +22,10 @@ model spreads its mass over one unseen word; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import functools
+import gc
 import math
-import uuid
-from collections.abc import Iterator
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrella.llm.common import batches, text_of, written
-from terrella.llm.wordhash import text_words
+from terrella.llm.wordhash import mixed, text_words
 
 #: Stands for the end among word hashes.
 END = np.uint64(1)
-#: Least share of all training tokens that a kept pair or triple has (and at least 2 occurrences).
-SHARE = 5e-6
-#: Bytes of text a block holds on average; tokens a task gathers before it hands their counts on.
-BLOCK_BYTES, GATHERED = 16_000_000, 4_000_000
+#: Least occurrences of a kept pair or triple. Words, pairs and triples: the rounds in which sums are asked for; then histories of one and two words.
+LEAST, WORDS, PAIRS, TRIPLES, HISTORIES = 2, 0, 1, 2, 3
+#: Bytes of text a block holds on average, and bytes of text whose keys a bucket gets.
+BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
+#: What the discount takes from a kept pair or triple.
+CUT = 0.75
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -49,80 +57,141 @@ def remainder(doc_id: str) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(mixed(a ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15) + b)
+
 
+def planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, so that the leading zeros of small numbers lie together, and compressed."""
+    data = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (its hash), c over the column `text`."""
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+def numbers_of(data: bytes, kind: type = np.int64) -> np.ndarray:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
-        def out() -> pa.RecordBatch:
-            words, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([_signed(words), pa.array(counts)], ["word", "c"])
 
-        for batch in batches(rows, 2_000_000, "text"):
-            held.append(tokens(text_of(batch.column(0)))[0])
-            n += len(held[-1])
-            if n > GATHERED:
-                yield out()
-                held, n = [], 0
-        if held:
-            yield out()
+class Dealt:
+    """Keys in ascending order, cut into buckets by their highest bits."""
 
-    return texts.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    def __init__(self, keys: np.ndarray, buckets: int):
+        self.order = np.argsort(keys, kind="stable")
+        self.keys = keys[self.order]
+        self.cuts = np.searchsorted((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
 
+    def asked(self, block: int, round_: int, *values: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
+        """Rows of block, part, keys and values."""
+        v = np.stack(values)[:, self.order]
+        rows, buckets = [], len(self.cuts) - 1
+        for i in range(buckets):
+            a, b = self.cuts[i], self.cuts[i + 1]
+            if a < b:
+                rows.append((block, round_ * buckets + i, planes(np.diff(self.keys[a:b], prepend=np.uint64(0))), planes(v[:, a:b].ravel())))
+        return rows
 
-class Numbers:
-    """Numbers 1, 2, .. of the frequent words' hashes; 0 for other words."""
+    def answered(self, answers: dict[int, bytes], round_: int, width: int) -> np.ndarray:
+        """The values sent back, one row each, in the order of the keys as they were given."""
+        out, buckets = np.zeros((width, len(self.keys)), np.int64), len(self.cuts) - 1
+        for i in range(buckets):
+            a, b = self.cuts[i], self.cuts[i + 1]
+            if a < b:
+                out[:, self.order[a:b]] = numbers_of(answers[round_ * buckets + i]).reshape(width, -1)
+        return out
 
-    def __init__(self, words: np.ndarray):
-        order = np.argsort(words)
-        self.words, self.number = words[order], order + 1
 
-    def __call__(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(words), np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.number[at], 0)
+ASKED = "block long, part long, keys binary, found binary"
+ANSWERED = "block long, part long, found binary, total long, kinds long, ones long, twos long"
 
 
-def gram_counts(texts: DataFrame, numbers, base: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """g, c of pairs of numbered words, or, given the kept pairs (sorted), of triples made of two of them.
+def asked_table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "part", "keys", "found"])
 
-    g is written in the base, oldest word first. A text begins in the state of an end.
-    """
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = numbers.value
-        end = number(np.array([END], np.uint64))
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            g, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(g), pa.array(c)], ["g", "c"])
-
-        for batch in batches(rows, 2_000_000, "text"):
-            # What follows an end is the next text's first word, as if texts were one stream.
-            x = np.concatenate([end, number(tokens(text_of(batch.column(0)))[0])])
-            code = x[:-1] * base + x[1:]
-            code[(x[:-1] == 0) | (x[1:] == 0)] = -1
-            if pairs is not None:
-                at = np.minimum(np.searchsorted(pairs, code), max(0, len(pairs) - 1))
-                kept = (pairs[at] == code) if len(pairs) else np.zeros(len(code), bool)
-                both = kept[:-1] & kept[1:] & (x[1:-1] != end)
-                code = code[:-1][both] * base + x[2:][both]
-            held.append(code[code >= 0])
-            n += len(held[-1])
-            if n > GATHERED:
-                yield out()
-                held, n = [], 0
-        if held:
-            yield out()
-
-    return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def add_up(group: pa.Table) -> pa.Table:
+    """Each block's keys with the sums over all blocks; counts are doubled, and odd where the block is the key's owner. Facts of the first sums on the first row."""
+    keys = [np.cumsum(numbers_of(k.as_py(), np.uint64)) for k in group["keys"]]
+    size = [len(k) for k in keys]
+    values = np.concatenate([numbers_of(v.as_py()).reshape(-1, n) for v, n in zip(group["found"], size, strict=True)], axis=1)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    new = np.concatenate([[True], np.diff(keys[order]) != 0])
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(values[:, order], at, axis=1)
+    back = np.empty_like(values)
+    back[:, order] = sums[:, np.cumsum(new) - 1]
+    first = sums[0]
+    facts = [int(first.sum()), int((first > 0).sum()), int((first == 1).sum()), int((first == 2).sum())]
+    if len(values) == 1:
+        back *= 2
+        back[:, order[at]] += 1
+    ends = np.cumsum(size)
+    found = [planes(back[:, e - n : e].ravel()) for e, n in zip(ends, size, strict=True)]
+    return pa.table({"block": group["block"], "part": group["part"], "found": pa.array(found, pa.binary())} | {n: pa.array([x] + [0] * (len(size) - 1), pa.int64()) for n, x in zip(("total", "kinds", "ones", "twos"), facts, strict=True)})
+
+
+class Block:
+    """The tokens of a block's texts as places among its distinct words, and its distinct pairs and triples."""
+
+    def __init__(self, group: pa.Table, buckets: int):
+        held, owners, n = [], [], 0
+        for chunk in batches(iter(group.select(["text"]).to_batches()), 4_000_000, "text"):
+            token, owner = tokens(text_of(chunk.column(0)))
+            held.append(token)
+            owners.append(owner + n)
+            n += chunk.num_rows
+        owner = np.concatenate(owners)
+        self.words, self.token = np.unique(np.concatenate(held), return_inverse=True)
+        kinds = len(self.words)
+        self.end = int(np.searchsorted(self.words, END))
+        self.first = np.concatenate([[True], owner[1:] != owner[:-1]])
+        self.training = ~group["held_out"].to_numpy(zero_copy_only=False)[owner]
+        before = np.concatenate([[self.end], self.token[:-1]])
+        before[self.first] = self.end
+        # A text begins in the state of an end, so what is before an end never counts.
+        pairs, self.pair = np.unique(before * kinds + self.token, return_inverse=True)
+        self.a, self.b = pairs // kinds, pairs % kinds
+        self.buckets = buckets
+        self.keys = [mixed(self.words), pair_keys(self.words[self.a], self.words[self.b])]
+        self.dealt = [Dealt(k, buckets) for k in self.keys]
+        self.c, self.mine = [], []
+
+    def counts(self) -> list[np.ndarray]:
+        """Training counts of the block's words and pairs."""
+        return [np.bincount(x[self.training], minlength=len(k)) for x, k in zip((self.token, self.pair), self.keys, strict=True)]
+
+    def take(self, answers: dict[int, bytes], round_: int) -> None:
+        """Counts over all texts (c) and which keys this block is the owner of (mine)."""
+        found = self.dealt[round_].answered(answers, round_, 1)[0]
+        self.c.append(found >> 1)
+        self.mine.append((found & 1) > 0)
+
+    def triples(self, least: int) -> np.ndarray:
+        """Find the triples whose two pairs are kept, as those of every kept triple are; gives their training counts."""
+        kept = self.c[PAIRS][self.pair] >= least
+        at = np.flatnonzero(~self.first[1:] & kept[1:] & kept[:-1]) + 1
+        triples, which = np.unique(self.pair[at - 1] * len(self.words) + self.token[at], return_inverse=True)
+        self.history, self.w = triples // len(self.words), triples % len(self.words)
+        #: The pair that ends each triple.
+        self.shorter = np.zeros(len(triples), np.int64)
+        self.shorter[which] = self.pair[at]
+        self.keys.append(pair_keys(self.keys[PAIRS][self.history], self.words[self.w]))
+        self.dealt.append(Dealt(self.keys[TRIPLES], self.buckets))
+        return np.bincount(which[self.training[at]], minlength=len(triples))
+
+    def histories(self, order: int, least: int) -> tuple[np.ndarray, Dealt]:
+        """Places of the words (0) or pairs (1) that may be histories, and their keys dealt out."""
+        at = np.flatnonzero(self.c[order] >= least)
+        return at, Dealt(self.keys[order][at], self.buckets)
+
+    def arcs(self, order: int, least: int) -> list[np.ndarray]:
+        """Of each word (0) or pair (1): number, counts and shorter counts of the kept arcs out of it that this block owns."""
+        history, lower = (self.a, self.c[WORDS][self.b]) if order == WORDS else (self.history, self.c[PAIRS][self.shorter])
+        own = self.mine[order + 1] & (self.c[order + 1] >= least)
+        facts = [np.zeros(len(self.c[order]), np.int64) for _ in range(3)]
+        for f, x in zip(facts, (own.astype(np.int64), self.c[order + 1], lower), strict=True):
+            np.add.at(f, history[own], x[own])
+        return facts
 
 
 class Automaton:
@@ -213,14 +282,20 @@ class Automaton:
     def read(self, words: np.ndarray, first: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """The score of each token, left to right. words: numbers, 0 where not frequent; first: where texts begin; rare: scores of the others.
 
-        A word that is not frequent leaves the empty state behind it, so runs between such words are read side by side.
+        A word that is not frequent leaves the empty state behind it, and one that makes no arc with the word before leaves its own,
+        whatever was read before. So runs between such words are read side by side.
         """
         out = np.where(words == 0, rare, 0.0)
+        before = np.concatenate([[0], self.root_next[words[:-1]]])
+        before[first] = self.start
+        key = before * self.base + words
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        arc = (before > 0) & (words > 0) & (self.keys[at] == key) if len(self.keys) else np.zeros(len(words), bool)
         opens = first.copy()
-        opens[1:] |= words[:-1] == 0
+        opens[1:] |= ~arc[:-1]
         begin = np.flatnonzero(opens)
         stop = np.append(begin[1:], len(words))
-        state = np.where(first[begin], self.start, 0)
+        state = before[begin]
         order = np.argsort(begin - stop, kind="stable")
         begin, state, size = begin[order], state[order], (stop - begin)[order]
         j = 0
@@ -238,88 +313,121 @@ class Automaton:
         return out
 
 
-_built: dict[str, Automaton] = {}
+def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int, discount: float) -> tuple[Automaton, np.ndarray]:
+    """The part of the automaton that a block's texts can reach, and the numbers of the block's words.
 
+    facts: of the block's words and pairs as histories, rows of number, counts and shorter counts of all their arcs.
+    """
+    (words, pairs, triples), self = block.c, Automaton.__new__(Automaton)
+    frequent, kept, kept3 = (np.flatnonzero(c >= least) for c in block.c)
+    number = np.zeros(len(words), np.int64)
+    number[frequent] = np.arange(1, len(frequent) + 1)
+    self.base = base = len(frequent) + 1
+    one, two = (np.where(f[0] > 0, np.cumsum(f[0] > 0), 0) for f in facts)
+    ones = int((one > 0).sum())
+    two[two > 0] += ones
+    n = 1 + ones + int((two > 0).sum())
+    self.fail, self.weight = np.zeros(n, np.int64), np.zeros(n)
+    for state, f, of, taken, lower in ((one, facts[0], words, discount, total), (two, facts[1], pairs, CUT, words[block.b])):
+        at = np.flatnonzero(state)
+        high = (f[1, at] - CUT * f[0, at]) / of[at]
+        low = (f[2, at] - taken * f[0, at]) / (lower if np.isscalar(lower) else lower[at])
+        self.weight[state[at]] = np.log10(np.maximum(1 - high, 1e-12) / np.maximum(1 - low, 1e-12))
+    self.fail[two[two > 0]] = one[block.b[two > 0]]
+    after = np.where(two > 0, two, one[block.b])
+    keys = np.concatenate([one[block.a[kept]] * base + number[block.b[kept]], two[block.history[kept3]] * base + number[block.w[kept3]]])
+    score = np.concatenate([np.log10((pairs[kept] - CUT) / words[block.a[kept]]), np.log10((triples[kept3] - CUT) / pairs[block.history[kept3]])])
+    order = np.argsort(keys)
+    self.keys, self.arc_score, self.arc_next = keys[order], score[order], np.concatenate([after[kept], after[block.shorter[kept3]]])[order]
+    self.root_score = np.concatenate([[0.0], np.log10((words[frequent] - discount) / max(total, 1))])
+    self.root_next = np.concatenate([[0], one[frequent]])
+    self.start = int(one[block.end])
+    self.fall = self.weight + self.weight[self.fail]
+    return self, number
+
+
+def released() -> None:
+    """Let Spark delete the shuffle files of steps that are done: it does so when the driver's garbage is collected."""
+    from pyspark import SparkContext
+
+    gc.collect()
+    for _ in range(2):  # what the first leaves unreachable, such as plans still in the listeners' queue, the second finds
+        SparkContext._active_spark_context._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def score_texts(docs: DataFrame, *, share: float = 0.0, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. share: a least share of all training tokens that kept pairs and triples have."""
+    rest = F.coalesce(remainder("doc_id"), F.lit(0))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0)).alias("b")).first()["b"]
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    blocked = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition("block")
 
-def automaton_of(name: str, parts, *facts) -> Automaton:
-    """The worker's automaton, built once and kept between tasks."""
-    if name not in _built:
-        _built.clear()
-        _built[name] = Automaton(*parts.value, *facts)
-    return _built[name]
+    rounds: list[DataFrame] = []
 
+    def settled(asked: DataFrame) -> DataFrame:
+        """Write the sums of what blocks ask."""
+        out = written(asked.groupBy("part").applyInArrow(add_up, ANSWERED), "grams")
+        released()
+        rounds.append(out.select("block", "part", "found"))
+        return out
 
-def score_texts(docs: DataFrame, *, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    rest = F.coalesce(remainder("doc_id"), F.lit(0))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    training = own.filter(~F.col("held_out"))
-    vocabulary = written(word_counts(training), "words")
-    facts = vocabulary.agg(*(F.coalesce(x, F.lit(0)).alias(n) for n, x in (("total", F.sum("c")), ("kinds", F.count("*")), ("ones", F.count_if(F.col("c") == 1)), ("twos", F.count_if(F.col("c") == 2))))).first()
+    def told(function, schema: str) -> DataFrame:
+        """Apply the function to each block with all answers so far."""
+        answers = functools.reduce(DataFrame.unionAll, rounds)
+        return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
+
+    def ask_grams(group: pa.Table) -> pa.Table:
+        block, key = Block(group, buckets), group["block"][0].as_py()
+        return asked_table([row for i, (d, c) in enumerate(zip(block.dealt, block.counts(), strict=True)) for row in d.asked(key, i, c)])
+
+    facts = settled(blocked.groupBy("block").applyInArrow(ask_grams, ASKED)).filter(F.col("part") < buckets).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "kinds", "ones", "twos"))).first()
     total, kinds, ones, twos = (int(facts[x]) for x in ("total", "kinds", "ones", "twos"))
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     unseen = max(1.0, ones * ones / (2 * max(twos, 1)))
     new = math.log10(discount * kinds / total / unseen) if total else 0.0
-    least = max(2, math.ceil(share * total))
-
-    # At most total / least words, pairs and triples each reach the share: no more than 1 / share of them.
-    frequent = vocabulary.filter(F.col("c") >= least).orderBy("word").toArrow()
-    known = frequent["word"].to_numpy().astype(np.int64).view(np.uint64)
-    counts = np.array([0, *frequent["c"].to_pylist()], np.int64)
-    base = len(counts)
-    number = Numbers(known)
-    end = int(number(np.array([END], np.uint64))[0])
-    numbers = spark.sparkContext.broadcast(number)
-
-    def kept(pairs: np.ndarray | None = None) -> dict[int, int]:
-        found = gram_counts(training, numbers, base, pairs).filter(F.col("c") >= least).toArrow()
-        return dict(zip(found["g"].to_pylist(), found["c"].to_pylist(), strict=True))
-
-    pairs = kept()
-    triples = kept(np.array(sorted(pairs), np.int64)) if pairs else {}
-    parts = spark.sparkContext.broadcast((counts, pairs, triples))
-
-    name = uuid.uuid4().hex
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-size // block_bytes))
-    blocked = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition("block")
+    least = max(LEAST, math.ceil(share * total))
 
-    def ask(group: pa.Table) -> pa.Table:
-        found = []
-        for chunk in batches(iter(group.select(["text"]).to_batches()), 4_000_000, "text"):
-            words = np.unique(tokens(text_of(chunk.column(0)))[0])
-            found.append(words[numbers.value(words) == 0])
-        found = np.unique(np.concatenate(found))
-        return pa.table({"block": pa.array(np.full(len(found), group["block"][0].as_py(), np.int64)), "word": _signed(found)})
+    def read(group: pa.Table, answers: pa.Table) -> tuple[Block, dict[int, bytes], np.ndarray]:
+        found = dict(zip(answers["part"].to_pylist(), answers["found"].to_pylist(), strict=True))
+        block = Block(group, buckets)
+        block.take(found, WORDS)
+        block.take(found, PAIRS)
+        return block, found, block.triples(least)
+
+    def histories(block: Block, key: int, order: int) -> list[tuple[int, int, bytes, bytes]]:
+        at, dealt = block.histories(order, least)
+        return dealt.asked(key, HISTORIES + order, *(x[at] for x in block.arcs(order, least)))
+
+    def ask_triples(group: pa.Table, answers: pa.Table) -> pa.Table:
+        block, _, counts = read(group, answers)
+        key = group["block"][0].as_py()
+        return asked_table(block.dealt[TRIPLES].asked(key, TRIPLES, counts) + histories(block, key, WORDS))
+
+    def ask_histories(group: pa.Table, answers: pa.Table) -> pa.Table:
+        block, found, _ = read(group, answers)
+        block.take(found, TRIPLES)
+        return asked_table(histories(block, group["block"][0].as_py(), PAIRS))
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        automaton, number = automaton_of(name, parts, total, discount, base, end), numbers.value
-        floor = total + 0.5 * (kinds + 1)
-        words = answers["word"].to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(words)
-        words, c = words[order], answers["c"].to_numpy().astype(np.int64)[order]
-        rows = []
-        for chunk in batches(iter(group.select(["text"]).to_batches()), 4_000_000, "text"):
-            token, owner = tokens(text_of(chunk.column(0)))
-            n = number(token)
-            count = counts[n]
-            other = np.flatnonzero(n == 0)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, token[other]), len(words) - 1)
-                count[other] = np.where(words[at] == token[other], c[at], 0)
-            rare = np.zeros(len(token))
-            rare[other] = np.where(count[other] > 0, np.log10(np.maximum(count[other] - discount, 1e-300) / max(total, 1)), new)
-            first = np.concatenate([[True], owner[1:] != owner[:-1]])
-            at = np.flatnonzero(first)
-            plain = np.log10((count + 0.5) / floor)
-            rows.append((np.diff(np.append(at, len(token))), np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(plain, at), np.add.reduceat(automaton.read(n, first, rare), at)))
-        n_tokens, n_known, plain, model = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else ([], [], [], [])
-        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * len(n_tokens), pa.int64()), "base_score": pa.array(plain, pa.float64()), "score": pa.array(model, pa.float64())})
-
-    asked = blocked.groupBy("block").applyInArrow(ask, "block long, word long")
-    answers = asked.join(vocabulary, "word").select("block", "word", "c")
-    return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        block, found, _ = read(group, answers)
+        block.take(found, TRIPLES)
+        facts = [np.zeros((3, len(c)), np.int64) for c in block.c[:TRIPLES]]
+        for order in (WORDS, PAIRS):
+            at, dealt = block.histories(order, least)
+            facts[order][:, at] = dealt.answered(found, HISTORIES + order, 3)
+        automaton, number = automaton_of(block, facts, least, total, discount)
+        count = block.c[WORDS][block.token]
+        rare = np.where(count > 0, np.log10(np.maximum(count - discount, 1e-300) / max(total, 1)), new)
+        plain = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
+        at = np.flatnonzero(block.first)
+        model = automaton.read(number[block.token], block.first, rare)
+        return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(np.diff(np.append(at, len(count)))), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(at), total, np.int64)), "base_score": pa.array(np.add.reduceat(plain, at)), "score": pa.array(np.add.reduceat(model, at))})
+
+    settled(told(ask_triples, ASKED))
+    settled(told(ask_histories, ASKED))
+    return told(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_backoff_automaton(spark, sf_dir):

@@ -413,6 +413,47 @@ def test_automaton_sums_to_one_in_every_state():
     np.testing.assert_allclose(a.read(words, first, rare), want)
 
 
+def test_pairs_seen_twice_count_at_every_size(spark):
+    """Against an automaton of all pairs and triples seen twice or more, over so many tokens that a share of 5e-6 would be three of them."""
+    rng = np.random.default_rng(12)
+    common = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(common[min(int(z), 2000) - 1] for z in rng.zipf(1.3, 2600))) for i in range(240)]
+    rows = [(i, f"{t} left{i // 2} right{i // 2} end{i // 2}") for i, t in rows]
+    train, pairs, triples = Counter(), Counter(), Counter()
+    stream = {i: ["</>", *lm_tokens(t)] for i, t in rows}
+    for i, x in stream.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(x[1:])
+            pairs.update(zip(x, x[1:], strict=False))
+            triples.update(zip(x, x[1:], x[2:], strict=False))
+    total = sum(train.values())
+    assert total * 5e-6 > 2
+    words = sorted(w for w, c in train.items() if c >= 2)
+    number, base = {w: i + 1 for i, w in enumerate(words)}, len(words) + 1
+
+    def code(gram):
+        out = 0
+        for w in gram:
+            out = out * base + number[w]
+        return out
+
+    ones, twos = (sum(1 for c in train.values() if c == n) for n in (1, 2))
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    kept, kept3 = ({code(g): c for g, c in grams.items() if c >= 2} for grams in (pairs, triples))
+    whole = ngrams.Automaton(np.array([0, *(train[w] for w in words)]), kept, kept3, total, discount, base, number["</>"])
+    new = math.log10(discount * len(train) / total / max(1.0, ones * ones / (2 * max(twos, 1))))
+    want = {}
+    for i, x in stream.items():
+        x = x[1:]
+        rare = np.array([0.0 if w in number else math.log10((train[w] - discount) / total) if train[w] else new for w in x])
+        first = np.zeros(len(x), bool)
+        first[0] = True
+        want[i] = whole.read(np.array([number.get(w, 0) for w in x]), first, rare).sum()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for got in ngrams.score_texts(table, block_bytes=400_000, bucket_bytes=300_000).collect():
+        assert got["score"] == pytest.approx(want[got["doc_id"]], rel=1e-9)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["the", "of", "and", "river", "mountain", "walks", "slowly", "green", "house", "over"]
