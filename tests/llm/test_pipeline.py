@@ -60,3 +60,31 @@ def test_registered():
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n[2:3].isdigit()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_near_copies_of_five_word_shingles_go(spark):
+    """Pairs of similarity 0.8 or more lose one text however far apart their fingerprints are, less similar ones none; one doc_id may have two texts."""
+    import corpus_pipeline
+    from terrella.llm import simhash
+
+    rng = np.random.default_rng(21)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, want, apart = [(5000, None), (5001, ""), (5002, "a b"), (5003, "A  b"), (None, "a b")], {None, 5000, 5002}, 0
+    for i in range(120):
+        one = rng.choice(vocabulary, 200)
+        two = one.copy()
+        for at in rng.integers(0, 200, i // 12 + 1):
+            two[at] = "changed"
+        a, b = shingles(one.tolist()), shingles(two.tolist())
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two).upper())]
+        near = len(a & b) >= 0.8 * len(a | b)
+        want |= {2 * i} if near else {2 * i, 2 * i + 1}
+        x, y = (int.from_bytes(simhash.fingerprint(t)) for _, t in rows[-2:])
+        apart += near and (x ^ y).bit_count() > 4
+    assert apart > 10
+    rows += [(9000, "one two three four five six"), (9000, "seven eight nine ten eleven twelve"), (9000, "seven eight nine ten eleven twelve")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    assert sorted(i for i, _ in got if i is not None and i < 9000) == sorted(i for i in want if i is not None)
+    assert sorted(t for i, t in got if i == 9000) == sorted({t for i, t in rows if i == 9000}) and (None, "a b") in got
