@@ -39,8 +39,12 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 #: Spellings that count as one, the left written as the right. Fixed values.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"), ("favour", "favor"), ("merchantibility", "merchantability"), ("organisation", "organization"), ("initialise", "initialize"), ("wilful", "willful"), ("noncommercial", "non commercial"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"), ("per cent", "percent"), ("http", "https"))
-#: A line that only names a holder; such lines do not count. Written so that RE2 and Java agree.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)( [^\n]*[0-9]{4}[^\n]*|[^a-z0-9\n]*)"
+#: Words that follow 'copyright' in the prose of licences and not in a notice.
+PROSE = "notices?|holders?|owners?|laws?|licen[sc]es?|statements?|interests?|disclaimers?|permissions?|protections?|treaty|treaties|rights?|acts?|infringements?|patents?|trademarks?|and|or|in|on|of|to|is|are|as|for|that|which|the software|the work"
+#: A whole line that only names a holder; such lines do not count. With 'copyright' or © a year is not needed; '(c)' alone may number a clause.
+COPYRIGHT_LINE = rf"(^|\n)[^a-z0-9\n]*(?:copyright(?![a-z0-9])(?![^a-z0-9\n]*(?:{PROSE})(?![a-z0-9]))[^\n]*[a-z0-9][^\n]*|©[^\n]*|\(c\)[^\n]*[0-9]{{4}}[^\n]*|all rights reserved[^a-z0-9\n]*)(?=\n|$)"
+#: The pattern of the SQL, which has no look-ahead: it agrees on texts whose lines do not begin with 'copyright' or '(c)' in prose and whose notices have a year.
+SQL_COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)( [^\n]*[0-9]{4}[^\n]*|[^a-z0-9\n]*)"
 KNOWN_ROWS_BROADCAST = 100_000
 
 
@@ -73,7 +77,7 @@ def _quoted(s: str) -> str:
 
 def scan_sql() -> str:
     def form(column: str) -> str:
-        lines = f"regexp_replace(lower(coalesce({column}, '')), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
+        lines = f"regexp_replace(lower(coalesce({column}, '')), {_quoted(SQL_COPYRIGHT_LINE)}, chr(10), 'g')"
         words = f"' ' || trim(regexp_replace({lines}, '[^a-z0-9]+', ' ', 'g')) || ' '"
         for a, b in SPELLINGS:
             words = f"replace({words}, ' {a} ', ' {b} ')"

@@ -139,6 +139,21 @@ def test_license_scan(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_licenses_wrapped_anywhere_under_any_notice(spark):
+    import textwrap
+
+    notices = ["", "Copyright (c) 2021 Somebody", "Copyright Jane Doe", "Copyright (c) The Foo Authors", "(c) 1999-2004 A. B.", "© Jane Doe", "Copyright 2020 A\nAll rights reserved."]
+    rows, want = [], {}
+    for name in ("MIT", "ISC", "Zlib"):
+        for width in (40, 55, 60, 66, 70, 72, 76, 79, 80, 100):
+            body = "\n\n".join(textwrap.fill(p, width) for p in licenses.KNOWN[name].split("\n\n"))
+            for notice in notices:
+                want[len(rows)] = name
+                rows.append((len(rows), f"{notice}\n\n{body}"))
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def brute_fingerprint(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
