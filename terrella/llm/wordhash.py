@@ -1,21 +1,22 @@
 """64-bit hashes of the words of texts, computed over whole batches at once.
 
-A word is a run of bytes other than white space (32 and 9 to 13); UTF-8 never uses those inside a character. Each byte value has
-a random number; a word's hash is their sum weighed by powers of an odd base, mixed. Prefix sums give all words of a buffer in a few
-array operations.
+A word is a run of bytes other than white space (32 and 9 to 13); UTF-8 never uses those inside a character. Words of up to 64 bytes are
+read in lanes of eight bytes, all words of a buffer in one array operation a lane, and each lane is mixed into the word's state;
+longer words are hashed one by one with XXH64. Words of one length of up to eight bytes never share a hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-#: Bytes of text that are hashed in one go.
-HASHED_BYTES = 2_000_000
+#: Bytes of text that are hashed in one go, and lanes of eight bytes beyond which a word is hashed by itself.
+HASHED_BYTES, LANES = 2_000_000, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BYTE = np.random.default_rng(42).integers(0, 2**64, 256, np.uint64)
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -41,6 +42,21 @@ def run_hashes(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
     return mixed((sums[stop] - sums[start]) * powers(len(sums))[1][start])
 
 
+def _lane_hashes(part: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words of `part` (followed by eight more bytes) that begin at `begin`."""
+    lanes = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+    state = size.astype(np.uint64) * _BASE
+    at = None
+    for k in range(min(LANES, -(-int(size.max(initial=0)) // 8))):
+        if k:
+            at = np.flatnonzero(size > 8 * k)
+            lane = lanes[begin[at] + 8 * k] & _KEPT[np.minimum(size[at] - 8 * k, 8)]
+            state[at] = mixed(state[at] * _BASE + lane)
+        else:
+            state = mixed(state + (lanes[begin] & _KEPT[np.minimum(size, 8)]))
+    return mixed(state * _BASE)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of UTF-8 text and the byte it starts at."""
     hashes, starts, at = [], [], 0
@@ -48,11 +64,14 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         stop = min(len(data), at + HASHED_BYTES)
         while stop < len(data) and not _SPACE[data[stop]]:
             stop += 1
-        part = np.frombuffer(data, np.uint8, stop - at, at)
-        inside = np.concatenate([[False], ~_SPACE[part], [False]])
+        part = data[at:stop] + bytes(8)
+        inside = np.concatenate([[False], ~_SPACE[np.frombuffer(part, np.uint8, stop - at)], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         begin, end = edges[::2], edges[1::2]
-        hashes.append(run_hashes(prefix_sums(_BYTE[part]), begin, end))
+        found = _lane_hashes(part, begin, end - begin)
+        for i in np.flatnonzero(end - begin > 8 * LANES).tolist():
+            found[i] = xxhash.xxh64_intdigest(part[begin[i] : end[i]], 42)
+        hashes.append(found)
         starts.append(begin + at)
         at = stop
     return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.array([], np.uint64), np.array([], np.int64))
