@@ -2,9 +2,10 @@
 
 Tokens are words and one end per text. Words have absolutely discounted frequencies over the whole training vocabulary;
 what the discount frees goes to unseen words, whose number is estimated from the words seen once and twice. Pairs and
-triples seen twice or more in training become states and arcs of an automaton, at every size of the input; the probability they
-leave over goes down a failure arc to the next shorter history, normalised by what that history gives to the words left. One
-left-to-right traversal of a text carries the state and adds up log10 probabilities.
+triples seen twice or more in training become states and arcs of an automaton, at every size of the input; each order's discount
+comes from how many of its grams were seen once and twice, counted before any is left out (of triples, those of two kept pairs). The
+probability that a history's arcs leave over goes down a failure arc to the next shorter history, normalised by what that history
+gives to the words left. One left-to-right traversal of a text carries the state and adds up log10 probabilities.
 
 No part of the model is collected or broadcast: it grows with the input and stays dealt out. Texts are grouped into blocks of
 bounded size. A block sends its distinct words and pairs, and then the triples made of two kept pairs, with their training counts to buckets of their hashes, and each
@@ -12,7 +13,7 @@ bucket sends back the sums, in the order it was asked, and names for each key on
 all its arcs come the same way from the owners of the arcs. With both a block builds the part of the automaton that its own texts
 can reach, with the scores and weights of the whole, and reads its texts.
 
-Words, pairs and triples are known by 64-bit hashes. A key has one row in a block however often it occurs, so that no bucket grows
+Words, pairs and triples are known by 64-bit hashes (two of one hash would share a count). A key has one row in a block however often it occurs, so that no bucket grows
 with a common word or pair.
 
 Cases: a null text counts as empty and is its end alone; a null doc_id is a training row; words never seen in training have
@@ -41,7 +42,7 @@ END = np.uint64(1)
 LEAST, WORDS, PAIRS, TRIPLES, HISTORIES = 2, 0, 1, 2, 3
 #: Bytes of text a block holds on average, and bytes of text whose keys a bucket gets.
 BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
-#: What the discount takes from a kept pair or triple.
+#: What is taken from a kept pair or triple where none was seen once or none twice.
 CUT = 0.75
 
 
@@ -72,6 +73,11 @@ def numbers_of(data: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def discount_of(ones: int, twos: int, otherwise: float = CUT) -> float:
+    """What absolute discounting takes from each count, by how many grams were seen once and twice."""
+    return ones / (ones + 2 * twos) if ones and twos else otherwise
+
+
 class Dealt:
     """Keys in ascending order, cut into buckets by their highest bits."""
 
@@ -200,11 +206,10 @@ class Automaton:
     words: counts of the frequent words by number (1 ..); pairs, triples: counts by code.
     """
 
-    def __init__(self, words: np.ndarray, pairs: dict[int, int], triples: dict[int, int], total: int, discount: float, base: int, end: int):
+    def __init__(self, words: np.ndarray, pairs: dict[int, int], triples: dict[int, int], total: int, discount: float, cuts: tuple[float, float], base: int, end: int):
         self.base = base
         self.unigram = np.concatenate([[0.0], (words[1:] - discount) / max(total, 1)])
-        ones, twos = (sum(1 for c in pairs.values() if c == i) for i in (1, 2))
-        cut = 0.75 if not ones else ones / (ones + 2 * twos)
+        cut, cut3 = cuts
         self.state = {0: 0}
         for code in pairs:
             self.state.setdefault(code // base, len(self.state))
@@ -234,7 +239,7 @@ class Automaton:
         for code, c in triples.items():
             h, w = divmod(code, base)
             shorter = (h % base) * base + w
-            p = (c - cut) / pairs[h]
+            p = (c - cut3) / pairs[h]
             q = pair_p.get(shorter)
             if q is None:
                 q = 10 ** self.weight[self.state[h % base]] * self.unigram[w] if h % base in self.state else self.unigram[w]
@@ -313,7 +318,7 @@ class Automaton:
         return out
 
 
-def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int, discount: float) -> tuple[Automaton, np.ndarray]:
+def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int, discount: float, cuts: tuple[float, float]) -> tuple[Automaton, np.ndarray]:
     """The part of the automaton that a block's texts can reach, and the numbers of the block's words.
 
     facts: of the block's words and pairs as histories, rows of number, counts and shorter counts of all their arcs.
@@ -328,15 +333,15 @@ def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int,
     two[two > 0] += ones
     n = 1 + ones + int((two > 0).sum())
     self.fail, self.weight = np.zeros(n, np.int64), np.zeros(n)
-    for state, f, of, taken, lower in ((one, facts[0], words, discount, total), (two, facts[1], pairs, CUT, words[block.b])):
+    for state, f, of, cut, taken, lower in ((one, facts[0], words, cuts[0], discount, total), (two, facts[1], pairs, cuts[1], cuts[0], words[block.b])):
         at = np.flatnonzero(state)
-        high = (f[1, at] - CUT * f[0, at]) / of[at]
+        high = (f[1, at] - cut * f[0, at]) / of[at]
         low = (f[2, at] - taken * f[0, at]) / (lower if np.isscalar(lower) else lower[at])
         self.weight[state[at]] = np.log10(np.maximum(1 - high, 1e-12) / np.maximum(1 - low, 1e-12))
     self.fail[two[two > 0]] = one[block.b[two > 0]]
     after = np.where(two > 0, two, one[block.b])
     keys = np.concatenate([one[block.a[kept]] * base + number[block.b[kept]], two[block.history[kept3]] * base + number[block.w[kept3]]])
-    score = np.concatenate([np.log10((pairs[kept] - CUT) / words[block.a[kept]]), np.log10((triples[kept3] - CUT) / pairs[block.history[kept3]])])
+    score = np.concatenate([np.log10((pairs[kept] - cuts[0]) / words[block.a[kept]]), np.log10((triples[kept3] - cuts[1]) / pairs[block.history[kept3]])])
     order = np.argsort(keys)
     self.keys, self.arc_score, self.arc_next = keys[order], score[order], np.concatenate([after[kept], after[block.shorter[kept3]]])[order]
     self.root_score = np.concatenate([[0.0], np.log10((words[frequent] - discount) / max(total, 1))])
@@ -356,8 +361,8 @@ def released() -> None:
         time.sleep(0.5)
 
 
-def score_texts(docs: DataFrame, *, share: float = 0.0, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row. share: a least share of all training tokens that kept pairs and triples have."""
+def score_texts(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rest = F.coalesce(remainder("doc_id"), F.lit(0))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0)).alias("b")).first()["b"]
@@ -382,12 +387,17 @@ def score_texts(docs: DataFrame, *, share: float = 0.0, block_bytes: int = BLOCK
         block, key = Block(group, buckets), group["block"][0].as_py()
         return asked_table([row for i, (d, c) in enumerate(zip(block.dealt, block.counts(), strict=True)) for row in d.asked(key, i, c)])
 
-    facts = settled(blocked.groupBy("block").applyInArrow(ask_grams, ASKED)).filter(F.col("part") < buckets).agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("total", "kinds", "ones", "twos"))).first()
-    total, kinds, ones, twos = (int(facts[x]) for x in ("total", "kinds", "ones", "twos"))
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    def summed(answers: DataFrame, round_: int) -> list[int]:
+        """All occurrences, different keys, and keys seen once and twice of one round."""
+        of = answers.filter((F.col("part") >= round_ * buckets) & (F.col("part") < (round_ + 1) * buckets))
+        return [int(x) for x in of.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("total", "kinds", "ones", "twos"))).first()]
+
+    grams = settled(blocked.groupBy("block").applyInArrow(ask_grams, ASKED))
+    total, kinds, ones, twos = summed(grams, WORDS)
+    discount, cut = discount_of(ones, twos, 0.5), discount_of(*summed(grams, PAIRS)[2:])
     unseen = max(1.0, ones * ones / (2 * max(twos, 1)))
     new = math.log10(discount * kinds / total / unseen) if total else 0.0
-    least = max(LEAST, math.ceil(share * total))
+    least = LEAST
 
     def read(group: pa.Table, answers: pa.Table) -> tuple[Block, dict[int, bytes], np.ndarray]:
         found = dict(zip(answers["part"].to_pylist(), answers["found"].to_pylist(), strict=True))
@@ -417,7 +427,7 @@ def score_texts(docs: DataFrame, *, share: float = 0.0, block_bytes: int = BLOCK
         for order in (WORDS, PAIRS):
             at, dealt = block.histories(order, least)
             facts[order][:, at] = dealt.answered(found, HISTORIES + order, 3)
-        automaton, number = automaton_of(block, facts, least, total, discount)
+        automaton, number = automaton_of(block, facts, least, total, discount, cuts)
         count = block.c[WORDS][block.token]
         rare = np.where(count > 0, np.log10(np.maximum(count - discount, 1e-300) / max(total, 1)), new)
         plain = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
@@ -425,7 +435,7 @@ def score_texts(docs: DataFrame, *, share: float = 0.0, block_bytes: int = BLOCK
         model = automaton.read(number[block.token], block.first, rare)
         return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(np.diff(np.append(at, len(count)))), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(at), total, np.int64)), "base_score": pa.array(np.add.reduceat(plain, at)), "score": pa.array(np.add.reduceat(model, at))})
 
-    settled(told(ask_triples, ASKED))
+    cuts = cut, discount_of(*summed(settled(told(ask_triples, ASKED)), TRIPLES)[2:])
     settled(told(ask_histories, ASKED))
     return told(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -372,6 +372,12 @@ def test_word_hashes():
     words = [(w, i) for i, t in enumerate(texts) for w in WORD.findall(t)]
     assert len(hashes) == len(words) and owner.tolist() == [i for _, i in words]
     assert len({int(h) for h in hashes}) == len({w for w, _ in words}) and hashes[0] == hashes[-2]
+    long = [b"y" * n for n in range(1, 200)] + [b"y" * n + b"z" for n in range(200)]
+    assert len(np.unique(wordhash.text_words(long)[0])) == len(long)
+    a, b = b"a", b"b"
+    for _ in range(13):  # a polynomial hash cannot tell these apart from 1,024 bytes on
+        a, b = a + b, b + a
+        assert len(np.unique(wordhash.text_words([a, b])[0])) == 2
 
 
 def lm_tokens(text):
@@ -384,7 +390,7 @@ def test_lm_base(docs, rows):
         if zlib.crc32(str(r[0]).encode()) % 5 != 1:
             train.update(lm_tokens(r[1]))
     total, kinds = sum(train.values()), len(train)
-    got = sorted(ngrams.score_texts(docs, share=1e-3, block_bytes=2_000).collect(), key=lambda r: r["doc_id"])
+    got = sorted(ngrams.score_texts(docs, block_bytes=2_000).collect(), key=lambda r: r["doc_id"])
     for g, r in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
         t = lm_tokens(r[1])
         assert (g["n_tokens"], g["n_known"], g["train_tokens"]) == (len(t), sum(train[w] > 0 for w in t), total)
@@ -406,7 +412,7 @@ def test_automaton_sums_to_one_in_every_state():
         triples[(int(a) * base + int(b)) * base + int(c)] += 1
     kept = {k: v for k, v in pairs.items() if v > 170}
     kept3 = {k: v for k, v in triples.items() if v > 30 and k // base in kept}
-    a = ngrams.Automaton(counts, kept, kept3, int(counts.sum()), 0.0, base, 1)
+    a = ngrams.Automaton(counts, kept, kept3, int(counts.sum()), 0.0, (0.6, 0.8), base, 1)
     for s in range(len(a.state)):
         score, _ = a.step(np.full(base - 1, s), np.arange(1, base))
         assert (10**score).sum() == pytest.approx(1, abs=2e-3)
@@ -428,47 +434,74 @@ def test_automaton_sums_to_one_in_every_state():
     np.testing.assert_allclose(a.read(words, first, rare), want)
 
 
-def test_pairs_seen_twice_count_at_every_size(spark):
-    """Against an automaton of all pairs and triples seen twice or more, over so many tokens that a share of 5e-6 would be three of them."""
+def brute_backoff(rows):
+    """Scores of a backoff model as its formulas say, gram by gram: no automaton, no hashes, no blocks."""
+    stream = {i: ["</>", *lm_tokens(t)] for i, t in rows}
+    grams = [Counter(), Counter(), Counter()]
+    for i, x in stream.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            grams[0].update((w,) for w in x[1:])
+            for n in (1, 2):
+                grams[n].update(tuple(x[k : k + n + 1]) for k in range(len(x) - n))
+    words, pairs = grams[0], {g: c for g, c in grams[1].items() if c >= 2}
+    of_kept = {g: c for g, c in grams[2].items() if g[:2] in pairs and g[1:] in pairs}
+    triples = {g: c for g, c in of_kept.items() if c >= 2}
+    # A pair whose first word is the start shares the end's count, as a text begins in the state of an end.
+    total, seen = sum(words.values()), [Counter(c.values()) for c in (words, grams[1], of_kept)]
+    takes = [s[1] / (s[1] + 2 * s[2]) if s[1] and s[2] else d for s, d in zip(seen, (0.5, 0.75, 0.75), strict=True)]
+    ones, twos = seen[0][1], seen[0][2]
+    unseen = max(1.0, ones * ones / (2 * max(twos, 1)))
+    after = {}
+    for g in [*pairs, *triples]:
+        after.setdefault(g[:-1], []).append(g[-1])
+
+    def left(history, cut, table, whole):
+        return max(1 - sum((table[(*history, w)] - cut) / whole for w in after[history]), 1e-12)
+
+    def probability(history, w):
+        if not history:
+            return (words[(w,)] - takes[0]) / total if words[(w,)] else takes[0] * len(words) / total / unseen
+        n, table = len(history), pairs if len(history) == 1 else triples
+        whole = words[history] if n == 1 else pairs.get(history, 0)
+        if (*history, w) in table:
+            return (table[(*history, w)] - takes[n]) / whole
+        lower = probability(history[1:], w)
+        if history not in after:
+            return lower
+        if history not in weights:
+            weights[history] = left(history, takes[n], table, whole) / max(1 - sum(probability(history[1:], x) for x in after[history]), 1e-12)
+        return weights[history] * lower
+
+    weights = {}
+    return {i: sum(math.log10(probability(tuple(x[max(0, k - 2) : k]), x[k])) for k in range(1, len(x))) for i, x in stream.items()}
+
+
+def test_scores_are_those_of_a_backoff_model(spark):
+    """Over so many tokens that a share of 5e-6 would be three of them: pairs seen twice count at every size."""
     rng = np.random.default_rng(12)
     common = [f"w{i}" for i in range(2000)]
     rows = [(i, " ".join(common[min(int(z), 2000) - 1] for z in rng.zipf(1.3, 2600))) for i in range(240)]
     rows = [(i, f"{t} left{i // 2} right{i // 2} end{i // 2}") for i, t in rows]
-    train, pairs, triples = Counter(), Counter(), Counter()
-    stream = {i: ["</>", *lm_tokens(t)] for i, t in rows}
-    for i, x in stream.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            train.update(x[1:])
-            pairs.update(zip(x, x[1:], strict=False))
-            triples.update(zip(x, x[1:], x[2:], strict=False))
-    total = sum(train.values())
-    assert total * 5e-6 > 2
-    words = sorted(w for w, c in train.items() if c >= 2)
-    number, base = {w: i + 1 for i, w in enumerate(words)}, len(words) + 1
-
-    def code(gram):
-        out = 0
-        for w in gram:
-            out = out * base + number[w]
-        return out
-
-    ones, twos = (sum(1 for c in train.values() if c == n) for n in (1, 2))
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    kept, kept3 = ({code(g): c for g, c in grams.items() if c >= 2} for grams in (pairs, triples))
-    whole = ngrams.Automaton(np.array([0, *(train[w] for w in words)]), kept, kept3, total, discount, base, number["</>"])
-    new = math.log10(discount * len(train) / total / max(1.0, ones * ones / (2 * max(twos, 1))))
-    want = {}
-    for i, x in stream.items():
-        x = x[1:]
-        rare = np.array([0.0 if w in number else math.log10((train[w] - discount) / total) if train[w] else new for w in x])
-        first = np.zeros(len(x), bool)
-        first[0] = True
-        want[i] = whole.read(np.array([number.get(w, 0) for w in x]), first, rare).sum()
+    want = brute_backoff(rows)
     table = spark.createDataFrame(rows, "doc_id long, text string")
     for got in ngrams.score_texts(table, block_bytes=400_000, bucket_bytes=300_000).collect():
         assert got["score"] == pytest.approx(want[got["doc_id"]], rel=1e-9)
 
 
+def test_scores_of_the_odd_corpus(docs, rows):
+    want = Counter()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(r[1])
+    if any(len(set(x)) > 1 for x in texts.values()):
+        raise AssertionError("the brute force knows one text by doc_id")
+    unique = [(i, x[0]) for i, x in texts.items()]
+    want = brute_backoff(unique)
+    table = docs.dropDuplicates(["doc_id"])
+    for got in ngrams.score_texts(table, block_bytes=3_000, bucket_bytes=2_000).collect():
+        assert got["score"] == pytest.approx(want[got["doc_id"]], rel=1e-9)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     vocabulary = ["the", "of", "and", "river", "mountain", "walks", "slowly", "green", "house", "over"]
