@@ -67,9 +67,10 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    def __init__(self, text: np.ndarray, sigma: int):
-        """text: symbols 0 .. sigma - 1."""
+    def __init__(self, text: np.ndarray, sigma: int, weights: np.ndarray | None = None):
+        """text: symbols 0 .. sigma - 1; weights: how often what stands at each place occurs (once, if not given)."""
         order = suffix_order(text)
+        self.heavy = np.concatenate([[0, 0], np.cumsum(weights[order] if weights is not None else np.ones(len(text), np.int64))])
         # The empty suffix is first; the symbol before the whole text is a stop that no search asks for.
         last = np.concatenate([text[-1:], np.where(order > 0, text[order - 1], sigma)]) if len(text) else np.array([], np.int64)
         self.rows = len(last)
@@ -90,7 +91,7 @@ class FMIndex:
             symbol = text[at]
             low = self.first[symbol] + self.tree.count(symbol, low)
             high = self.first[symbol] + self.tree.count(symbol, high)
-            found = high - low >= least
+            found = self.heavy[high] - self.heavy[low] >= least
             alive, low, high = alive[found], low[found], high[found]
             length[alive] = step + 1
         return length

@@ -24,15 +24,14 @@ model spreads its mass over one unseen word; an empty table gives no rows; other
 from __future__ import annotations
 
 import functools
-import gc
 import math
-import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrella.llm.blocks import ASKED, BLOCK_BYTES, BUCKET_BYTES, Dealt, asked_of, asked_table, block_of, bytes_of, released, shared_out
 from terrella.llm.common import batches, text_of, written
 from terrella.llm.wordhash import mixed, text_words
 
@@ -40,8 +39,6 @@ from terrella.llm.wordhash import mixed, text_words
 END = np.uint64(1)
 #: Least occurrences of a kept pair or triple. Words, pairs and triples: the rounds in which sums are asked for; then histories of one and two words.
 LEAST, WORDS, PAIRS, TRIPLES, HISTORIES = 2, 0, 1, 2, 3
-#: Bytes of text a block holds on average, and bytes of text whose keys a bucket gets.
-BLOCK_BYTES, BUCKET_BYTES = 8_000_000, 8_000_000
 #: What is taken from a kept pair or triple where none was seen once or none twice.
 CUT = 0.75
 
@@ -62,64 +59,17 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(mixed(a ^ np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit numbers byte by byte, so that the leading zeros of small numbers lie together, and compressed."""
-    data = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def numbers_of(data: bytes, kind: type = np.int64) -> np.ndarray:
-    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
-
-
 def discount_of(ones: int, twos: int, otherwise: float = CUT) -> float:
     """What absolute discounting takes from each count, by how many grams were seen once and twice."""
     return ones / (ones + 2 * twos) if ones and twos else otherwise
 
 
-class Dealt:
-    """Keys in ascending order, cut into buckets by their highest bits."""
-
-    def __init__(self, keys: np.ndarray, buckets: int):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.cuts = np.searchsorted((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-
-    def asked(self, block: int, round_: int, *values: np.ndarray) -> list[tuple[int, int, bytes, bytes]]:
-        """Rows of block, part, keys and values."""
-        v = np.stack(values)[:, self.order]
-        rows, buckets = [], len(self.cuts) - 1
-        for i in range(buckets):
-            a, b = self.cuts[i], self.cuts[i + 1]
-            if a < b:
-                rows.append((block, round_ * buckets + i, planes(np.diff(self.keys[a:b], prepend=np.uint64(0))), planes(v[:, a:b].ravel())))
-        return rows
-
-    def answered(self, answers: dict[int, bytes], round_: int, width: int) -> np.ndarray:
-        """The values sent back, one row each, in the order of the keys as they were given."""
-        out, buckets = np.zeros((width, len(self.keys)), np.int64), len(self.cuts) - 1
-        for i in range(buckets):
-            a, b = self.cuts[i], self.cuts[i + 1]
-            if a < b:
-                out[:, self.order[a:b]] = numbers_of(answers[round_ * buckets + i]).reshape(width, -1)
-        return out
-
-
-ASKED = "block long, part long, keys binary, found binary"
 ANSWERED = "block long, part long, found binary, total long, kinds long, ones long, twos long"
 
 
-def asked_table(rows: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["block", "part", "keys", "found"])
-
-
 def add_up(group: pa.Table) -> pa.Table:
     """Each block's keys with the sums over all blocks; counts are doubled, and odd where the block is the key's owner. Facts of the first sums on the first row."""
-    keys = [np.cumsum(numbers_of(k.as_py(), np.uint64)) for k in group["keys"]]
-    size = [len(k) for k in keys]
-    values = np.concatenate([numbers_of(v.as_py()).reshape(-1, n) for v, n in zip(group["found"], size, strict=True)], axis=1)
-    keys = np.concatenate(keys)
+    keys, values, size = asked_of(group)
     order = np.argsort(keys, kind="stable")
     new = np.concatenate([[True], np.diff(keys[order]) != 0])
     at = np.flatnonzero(new)
@@ -131,9 +81,7 @@ def add_up(group: pa.Table) -> pa.Table:
     if len(values) == 1:
         back *= 2
         back[:, order[at]] += 1
-    ends = np.cumsum(size)
-    found = [planes(back[:, e - n : e].ravel()) for e, n in zip(ends, size, strict=True)]
-    return pa.table({"block": group["block"], "part": group["part"], "found": pa.array(found, pa.binary())} | {n: pa.array([x] + [0] * (len(size) - 1), pa.int64()) for n, x in zip(("total", "kinds", "ones", "twos"), facts, strict=True)})
+    return pa.table({"block": group["block"], "part": group["part"], "found": shared_out(back, size)} | {n: pa.array([x] + [0] * (len(size) - 1), pa.int64()) for n, x in zip(("total", "kinds", "ones", "twos"), facts, strict=True)})
 
 
 class Block:
@@ -351,23 +299,13 @@ def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int,
     return self, number
 
 
-def released() -> None:
-    """Let Spark delete the shuffle files of steps that are done: it does so when the driver's garbage is collected."""
-    from pyspark import SparkContext
-
-    gc.collect()
-    for _ in range(2):  # what the first leaves unreachable, such as plans still in the listeners' queue, the second finds
-        SparkContext._active_spark_context._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def score_texts(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     rest = F.coalesce(remainder("doc_id"), F.lit(0))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (rest == 1).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 40), F.lit(0)).alias("b")).first()["b"]
+    size = bytes_of(own, "text")
     blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
-    blocked = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))).repartition("block")
+    blocked = own.withColumn("block", block_of("doc_id", "text", blocks)).repartition("block")
 
     rounds: list[DataFrame] = []
 

@@ -1,39 +1,49 @@
 """Removal of repeated passages: every window of words that also starts anywhere else goes.
 
 Windows meet in buckets chosen by their content: a window's key is the least hash among its grams of a few words, so
-equal windows have equal keys, and neighbouring windows mostly share one and travel as a single span. Spans of a key
-that occurs once hold nothing repeated and are dropped early. Spans that occur twice with equal content repeat as a
-whole. Only the others, where passages begin and end, need their words: they are gathered in shards by key, each
-shard is indexed by a compressed FM-index over a wavelet matrix, and backward search gives the matching statistics
-of its spans; those of at least a window's length are reported as intervals. A key with more different spans than a
-shard should hold is dealt anew by the hash of each whole window.
+equal windows have equal keys, and neighbouring windows mostly share one and travel as a single span. Blocks of texts ask
+buckets of keys; what occurs once under its key is dropped. Of each different span one block sends the words. A bucket is a
+shard: its spans are indexed by a compressed FM-index over a wavelet matrix, in which each place counts as often as its
+span occurs, and backward search gives the matching statistics of all spans; those that reach a window's length are
+reported, and the shard answers every block that holds the span with the windows that repeat. The index decides every window.
 
-Identity of spans and windows is judged by the key and by 64-bit content hashes together.
+A key of very many different spans would make its shard large. Such spans are cut into their windows, which are dealt anew, each by the
+hash of all its words; windows that occur once are dropped, and one copy of each other is indexed in the same way.
+
+Equal spans and windows are known by two 64-bit hashes together, of a gram or of all their words.
 
 Cases: a null text counts as empty; texts of fewer words than a window keep all; texts of any length are read whole; repeated rows repeat each other and lose all their
-windows; an empty table gives no rows; `duplicate_words` drops other columns, `without_repeats` keeps all.
+windows; rows without doc_id are treated like others; an empty table gives no rows; `duplicate_words` drops other columns, `without_repeats` keeps all, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrella.llm.common import batches, dropped, text_of, written
+from terrella.llm.blocks import BLOCK_BYTES, BUCKET_BYTES, Dealt, asked_of, asked_table, block_of, bytes_of, released, shared_out
+from terrella.llm.common import written
 from terrella.llm.fmindex import FMIndex
-from terrella.llm.wordhash import mixed, prefix_sums, run_hashes, text_words, word_hashes
+from terrella.llm.wordhash import mixed, prefix_sums, run_hashes, word_hashes
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 35, 8
-#: Words an index holds on average; different spans of a key beyond which it is dealt by whole windows.
-SHARD_WORDS, HOT_SPANS = 1_000_000, 20_000
+#: Different spans of a key beyond which they are cut into windows.
+HOT_SPANS = 10_000
+#: The rounds of questions: how often keys occur, how often spans do, and which of their windows repeat.
+KEYS, SPANS, REPEATS = 0, 1, 2
+#: Windows that one span may have, as their marks fit one number.
+MARKS = 62
+ASKED = "block long, part long, keys binary, found binary, words binary"
+ANSWERED = "block long, part long, found binary"
+
 
 def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Key, content hash, start, number of windows and times of each run of windows that share their least gram.
@@ -67,20 +77,21 @@ def spans(hashes: np.ndarray, owner: np.ndarray, window: int = WINDOW, gram: int
     return key[head], content[head], first[head], count[head], np.diff(np.append(head, len(first)))
 
 
-def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: np.ndarray, asks: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Span and offset of each window, of the spans that ask, that occurs elsewhere among all spans.
+def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: np.ndarray, times: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Span and offset of each window that occurs more than once among all spans.
 
-    symbols: the spans' words, each span closed by symbol 0; base: where each begins; count: its windows. A window can only
-    repeat where each of its grams does, which is looked up first. Then each span's last open window is searched
+    symbols: the spans' words, each span closed by symbol 0; base: where each begins; count: its windows; times: how often it occurs. A
+    window can only repeat where each of its grams does, which is looked up first. Then each span's last open window is searched
     backwards through the whole span: the longest repeated run that ends there settles all windows inside it.
     """
-    index = FMIndex(symbols, sigma)
+    weights = np.repeat(times, count + window)
+    index = FMIndex(symbols, sigma, weights)
     sums = prefix_sums(mixed(symbols.astype(np.uint64) + np.uint64(1)))
     grams = len(symbols) - gram + 1
-    _, number, times = np.unique(run_hashes(sums, np.arange(grams), np.arange(gram, grams + gram)), return_inverse=True, return_counts=True)
-    single = np.concatenate([[0], np.cumsum(times[number] < 2)])
-    span = np.repeat(np.flatnonzero(asks), count[asks])
-    offset = np.arange(len(span)) - np.repeat(np.cumsum(count[asks]) - count[asks], count[asks])
+    _, number = np.unique(run_hashes(sums, np.arange(grams), np.arange(gram, grams + gram)), return_inverse=True)
+    single = np.concatenate([[0], np.cumsum(np.bincount(number, weights[:grams])[number] < 2)])
+    span = np.repeat(np.arange(len(base)), count)
+    offset = np.arange(len(span)) - np.repeat(np.cumsum(count) - count, count)
     at = base[span] + offset
     may = single[at + window - gram + 1] == single[at]
     span, offset = span[may], offset[may]
@@ -99,139 +110,234 @@ def repeated_windows(symbols: np.ndarray, sigma: int, base: np.ndarray, count: n
     return span[found], offset[found]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64))
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, rid (tells texts of one doc_id apart) and text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rid"), "text")
-
-
-def repeated_intervals(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot_spans: int = HOT_SPANS) -> DataFrame:
-    """doc_id, rid, spans (array of structs start, stop: words that repeated windows cover) of the documents that have any."""
-    named = _named(docs)
-    gram = min(gram, window)
-
-    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 2_000_000, "text"):
-            hashes, owner = text_words([t.encode() for t in text_of(batch.column(2))])
-            key, content, start, count, times = spans(hashes, owner, window, gram)
-            at = pa.array(owner[start])
-            start = start - np.searchsorted(owner, owner[start])
-            yield pa.RecordBatch.from_arrays([_signed(key), _signed(content), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(times.astype(np.int32))], ["key", "content", "doc_id", "rid", "start", "count", "times"])
-
-    every = written(named.mapInArrow(cut, "key long, content long, doc_id long, rid long, start int, count int, times int"), "spans")
-    # Written, so that the join shuffles both sides itself and a key with many spans can be split.
-    twice = written(every.groupBy("key").agg(F.sum("times").alias("n")).filter("n > 1").select("key"), "spans-keys")
-    shared = written(every.join(twice, "key", "left_semi"), "spans-shared")
-    dropped(every)
-    dropped(twice)
-    contents = written(shared.groupBy("key", "content").agg(F.sum("times").alias("n"), F.min(F.struct("doc_id", "rid", "start", "count")).alias("r")), "spans-contents")
-    whole = shared.join(contents.filter("n > 1").select("key", "content"), ["key", "content"], "left_semi").select("doc_id", "rid", "start", (F.col("start") + F.col("count") + F.col("times") + (window - 2)).alias("stop"))
-
-    different = contents.groupBy("key").agg(F.count("*").alias("k"), F.min("n").alias("least")).filter("k > 1 AND least = 1").select("key", (F.col("k") > hot_spans).alias("hot"))
-    open_spans = written(contents.join(different, "key").select("key", "hot", F.least("n", F.lit(2)).cast("int").alias("n"), "r.*"), "spans-open")
-    size = open_spans.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("count") + window - 1), F.lit(0)).alias("words")).first()
-    shards = max(1, -(-size["words"] // shard_words))
-    wanted = open_spans.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("key", "hot", "n", "start", "count")).alias("wanted"))
-
-    def fetch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 4_000_000, "text"):
-            out = []
-            for doc, rid, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words = WORDS.findall(text or "")
-                sums = prefix_sums(word_hashes((text or "").encode())[0]) if any(a["hot"] for a in asked) else None
-                for a in asked:
-                    start, count = a["start"], a["count"]
-                    if a["hot"]:
-                        each = np.arange(start, start + count)
-                        out += [(h, a["n"], doc, rid, s, 1, None) for h, s in zip(run_hashes(sums, each, each + window).view(np.int64).tolist(), each.tolist(), strict=True)]
-                    else:
-                        out.append((a["key"] % shards, a["n"], doc, rid, start, count, " ".join(words[start : start + count + window - 1])))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["key", "n", "doc_id", "rid", "start", "count", "words"])
-
-    # doc_id may be null, so the join is null-safe on it; rid carries the hash partitioning.
-    asked = named.join(wanted, named.rid.eqNullSafe(wanted.rid) & named.doc_id.eqNullSafe(wanted.doc_id)).select(named.doc_id, named.rid, named.text, wanted.wanted)
-    asked = written(asked.mapInArrow(fetch, "key long, n int, doc_id long, rid long, start int, count int, words string").dropDuplicates(["key", "doc_id", "rid", "start"]), "spans-words")
-
-    def search(group: pa.Table) -> pa.Table:
-        texts = [w.split(" ") for w in group["words"].to_pylist()]
-        number: dict[str, int] = {}
-        symbols = np.array([number.setdefault(w, len(number) + 1) if w else 0 for t in texts for w in (*t, "")], np.int64)
-        start, count, n = (group[c].to_numpy().astype(np.int64) for c in ("start", "count", "n"))
-        base = np.concatenate([[0], np.cumsum(count + window)])[:-1]
-        owner, offset = repeated_windows(symbols, len(number) + 1, base, count, n == 1, window, gram)
-        at = pa.array(owner)
-        first = pa.array((start[owner] + offset).astype(np.int32))
-        return pa.table({"doc_id": group["doc_id"].take(at), "rid": group["rid"].take(at), "start": first, "stop": pc.add(first, pa.scalar(window, pa.int32()))})
-
-    edges = asked.filter("words IS NOT NULL").groupBy("key").applyInArrow(search, "doc_id long, rid long, start int, stop int")
-    windows = asked.filter("words IS NULL")
-    hot = windows.groupBy("key").agg(F.sum("n").alias("all")).filter("all > 1").select("key")
-    hot = windows.filter("n = 1").join(hot, "key", "left_semi").select("doc_id", "rid", "start", (F.col("start") + window).alias("stop"))
-    parts = whole.unionAll(edges).unionAll(hot)
-    return written(parts.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans-found")
-
-
-def _removed(n: int, found: list | None) -> np.ndarray:
-    """Which of n words the intervals cover."""
-    steps = np.zeros(n + 1, np.int64)
-    for s in found or ():
-        steps[s["start"]] += 1
-        steps[s["stop"]] -= 1
-    return np.cumsum(steps[:-1]) > 0
-
-
-def _with_intervals(docs: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    keyed = docs.withColumn("_rid", F.xxhash64("doc_id", "text")).withColumn("_doc", F.col("doc_id").cast("long"))
-    return keyed.join(found, keyed["_rid"].eqNullSafe(found["rid"]) & keyed["_doc"].eqNullSafe(found["doc_id"]), "left").select(*(keyed[c] for c in columns), found["spans"].alias("_spans"))
+def grouped(key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the pairs, where each different one begins in it, and the number of each pair."""
+    order = np.lexsort((content, key))
+    k, c = key[order], content[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]) if len(k) else np.array([], bool)
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), which
+
+
+class Block:
+    """The words of a block's texts and their spans."""
+
+    def __init__(self, texts: list[bytes], buckets: int, window: int, gram: int):
+        self.buckets, self.window = buckets, window
+        self.data = b"\n".join(texts)
+        self.words, self.begin = word_hashes(self.data)
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        self.owner = np.searchsorted(stops, self.begin, side="right")
+        key, self.content, self.first, self.count, self.times = spans(self.words, self.owner, window, gram)
+        self.key = mixed(key)  # the least of many hashes is small
+        self.distinct, self.of = np.unique(self.key, return_inverse=True)
+        self.dealt = Dealt(self.distinct, buckets)
+
+    def ask_keys(self, block: int) -> list[tuple]:
+        """Occurrences and different spans of each key."""
+        order, at, _ = grouped(self.key, self.content)
+        kinds = np.bincount(self.of[order[at]], minlength=len(self.distinct))
+        return self.dealt.asked(block, KEYS, np.bincount(self.of, self.times, len(self.distinct)).astype(np.int64), kinds)
+
+    def take_keys(self, found: dict[int, bytes]) -> None:
+        """Keep what may repeat, cut the spans of hot keys into windows: items, each with a key, a content, its first word, windows and times."""
+        code = self.dealt.answered(found, KEYS, 1)[0][self.of]
+        plain, hot = np.flatnonzero(code == 1), np.flatnonzero(code == 3)
+        of = np.repeat(hot, self.count[hot])
+        first = self.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(self.count[hot]) - self.count[hot], self.count[hot])
+        whole = run_hashes(prefix_sums(self.words), first, first + self.window) if len(of) else np.array([], np.uint64)
+        self.hot = np.repeat([False, True], [len(plain), len(of)])
+        self.item_key = np.concatenate([self.key[plain], mixed(whole)])
+        self.item_content = np.concatenate([self.content[plain], self.key[of]])
+        self.item_first, self.item_times = np.concatenate([self.first[plain], first]), np.concatenate([self.times[plain], self.times[of]])
+        self.item_count = np.concatenate([self.count[plain], np.ones(len(of), np.int64)])
+        order, at, self.which = grouped(self.item_key, self.item_content)
+        #: The first item of each different one.
+        self.one = order[at]
+        self.kinds = Dealt(self.item_key[self.one], self.buckets)
+
+    def ask_spans(self, block: int) -> list[tuple]:
+        """Occurrences of each different item, doubled, and odd if it is a window of a hot key."""
+        n = np.bincount(self.which, self.item_times, len(self.one)).astype(np.int64)
+        return self.kinds.asked(block, SPANS, self.item_content[self.one], 2 * n + self.hot[self.one])
+
+    def take_spans(self, found: dict[int, bytes]) -> None:
+        code = self.kinds.answered(found, SPANS, 1)[0]
+        self.open = np.flatnonzero(code)
+        self.weight = np.where(code & 1, code >> 1, 0)[self.open]
+        self.asks = Dealt(self.item_key[self.one[self.open]], self.buckets)
+
+    def text_of(self, first: int, words: int) -> bytes:
+        stop = first + words
+        return b" ".join(self.data[self.begin[first] : self.begin[stop] if stop < len(self.begin) else len(self.data)].split())
+
+    def ask_repeats(self, block: int) -> list[tuple]:
+        """Each item that is left, with the words of those that this block is the owner of."""
+        item = self.one[self.open]
+        rows, first, words = [], self.item_first[item], self.item_count[item] + self.window - 1
+        for (_, a, b), row in zip(self.asks.runs, self.asks.asked(block, REPEATS, self.item_content[item], self.weight), strict=True):
+            mine = [i for i in self.asks.order[a:b].tolist() if self.weight[i]]
+            told = b"\n".join([self.text_of(first[i], words[i]) for i in mine])
+            rows.append((*row, len(told).to_bytes(8, "little") + pa.compress(told, codec="zstd", asbytes=True)))
+        return rows
+
+    def gone(self, found: dict[int, bytes]) -> np.ndarray:
+        """Which of the block's words repeated windows cover."""
+        marks = np.zeros(len(self.one), np.int64)
+        marks[self.open] = self.asks.answered(found, REPEATS, 1)[0]
+        marks = marks[self.which]
+        steps = np.zeros(len(self.words) + 1, np.int64)
+        for offset in range(MARKS):
+            at = np.flatnonzero(marks >> offset & 1)
+            if len(at):
+                start = self.item_first[at] + offset
+                np.add.at(steps, start, 1)
+                np.add.at(steps, start + self.window + self.item_times[at] - 1, -1)
+        return np.cumsum(steps[:-1]) > 0
+
+
+def asked_rows(rows: list[tuple]) -> pa.Table:
+    words = pa.array([r[4] if len(r) > 4 else b"" for r in rows], pa.binary())
+    return asked_table(rows).append_column("words", words)
+
+
+def answered_rows(group: pa.Table, values: np.ndarray, size: list[int]) -> pa.Table:
+    return pa.table({"block": group["block"], "part": group["part"], "found": shared_out(values, size)})
+
+
+def key_facts(hot_spans: int):
+    def run(group: pa.Table) -> pa.Table:
+        """1 for keys that occur twice or more, 3 for those of very many different spans, 0 for others."""
+        keys, (n, kinds), size = asked_of(group)
+        _, of = np.unique(keys, return_inverse=True)
+        twice, many = np.bincount(of, n) > 1, np.bincount(of, kinds) > hot_spans
+        return answered_rows(group, (twice * (1 + 2 * many))[of][None], size)
+
+    return run
+
+
+def span_facts(group: pa.Table) -> pa.Table:
+    """Occurrences (two for more) of each item, doubled, and odd for its first block; 0 for windows of hot keys that occur once."""
+    keys, (content, n), size = asked_of(group)
+    order, at, which = grouped(keys, content.view(np.uint64))
+    total = np.bincount(which, n >> 1, len(at))
+    out = 2 * np.minimum(total, 2).astype(np.int64)[which]
+    out[order[at]] += 1
+    return answered_rows(group, np.where((n & 1 > 0) & (total[which] < 2), 0, out)[None], size)
+
+
+def searched(window: int, gram: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Marks of the windows of each item that repeat."""
+        keys, (content, weight), size = asked_of(group)
+        told = [pa.decompress(w[8:], int.from_bytes(w[:8], "little"), codec="zstd", asbytes=True) for w in group["words"].to_pylist()]
+        texts = [t.split(b" ") for part in told if part for t in part.split(b"\n")]
+        number: dict[bytes, int] = {}
+        symbols = np.array([number.setdefault(w, len(number) + 1) if w else 0 for t in texts for w in (*t, b"")], np.int64)
+        count = np.array([len(t) - window + 1 for t in texts], np.int64)
+        owned = np.flatnonzero(weight)
+        found, offset = repeated_windows(symbols, len(number) + 1, np.cumsum(count + window) - count - window, count, weight[owned], window, gram)
+        _, at, which = grouped(keys, content.view(np.uint64))
+        marks = np.zeros(len(at), np.int64)
+        np.bitwise_or.at(marks, which[owned[found]], np.int64(1) << offset)
+        return answered_rows(group, marks[which][None], size)
+
+    return run
+
+
+def _by_block(docs: DataFrame, function, schema: str, *, window: int, gram: int, hot_spans: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """Apply `function` to the columns of each block of `docs` (named c0, c1, ..) and to the block's words that repeated windows cover."""
+    gram = max(min(gram, window), window - MARKS + 1)
+    names = docs.columns
+    own = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    doc_id, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    size = bytes_of(own, text)
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    rows = own.withColumn("block", block_of(doc_id, text, blocks))
+    texts = rows.select("block", F.coalesce(text, F.lit("")).cast("binary").alias("text")).repartition("block")
+    rounds: list[DataFrame] = []
+
+    def settled(asked: DataFrame, answer) -> None:
+        rounds.append(written(asked.groupBy("part").applyInArrow(answer, ANSWERED), "spans"))
+        released()
+
+    def told(by: DataFrame, function, schema: str) -> DataFrame:
+        return by.groupBy("block").cogroup(functools.reduce(DataFrame.unionAll, rounds).groupBy("block")).applyInArrow(function, schema)
+
+    def block_from(column: pa.ChunkedArray, answers: pa.Table | None = None) -> tuple[Block, dict[int, bytes]]:
+        found = dict(zip(answers["part"].to_pylist(), answers["found"].to_pylist(), strict=True)) if answers is not None else {}
+        block = Block(column.to_pylist(), buckets, window, gram)
+        if answers is not None:
+            block.take_keys(found)
+        return block, found
+
+    def ask_keys(group: pa.Table) -> pa.Table:
+        return asked_rows(block_from(group["text"])[0].ask_keys(group["block"][0].as_py()))
+
+    def ask_spans(group: pa.Table, answers: pa.Table) -> pa.Table:
+        return asked_rows(block_from(group["text"], answers)[0].ask_spans(group["block"][0].as_py()))
+
+    def ask_repeats(group: pa.Table, answers: pa.Table) -> pa.Table:
+        block, found = block_from(group["text"], answers)
+        block.take_spans(found)
+        return asked_rows(block.ask_repeats(group["block"][0].as_py()))
+
+    def apply(group: pa.Table, answers: pa.Table) -> pa.Table:
+        column = group[text].cast(pa.binary()).fill_null(b"")
+        block, found = block_from(column, answers)
+        block.take_spans(found)
+        return function(group, block, block.gone(found))
+
+    settled(texts.groupBy("block").applyInArrow(ask_keys, ASKED), key_facts(hot_spans))
+    settled(told(texts, ask_spans, ASKED), span_facts)
+    settled(told(texts, ask_repeats, ASKED), searched(window, gram))
+    return told(rows.repartition("block"), apply, schema)
+
+
+def _options(window: int = WINDOW, gram: int = GRAM, hot_spans: int = HOT_SPANS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> dict:
+    return {"window": window, "gram": gram, "hot_spans": hot_spans, "block_bytes": block_bytes, "bucket_bytes": bucket_bytes}
 
 
 def duplicate_words(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    rows = _with_intervals(docs.select("doc_id", "text"), repeated_intervals(docs, **options), ["doc_id", "text"])
+    """doc_id, n_words, n_removed, kept_sha256 of every row. Options: window, gram, hot_spans, block_bytes, bucket_bytes."""
 
-    def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(batch_rows, 4_000_000, "text"):
-            out = []
-            for text, found in zip(text_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                words = WORDS.findall(text)
-                gone = _removed(len(words), found)
-                if found:
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((len(gone), len(gone) - len(words), sha256(" ".join(words).encode()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+    def run(group: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+        n = np.bincount(block.owner, minlength=group.num_rows)
+        removed = np.bincount(block.owner[gone], minlength=group.num_rows)
+        ends, hashes = np.cumsum(n), []
+        for i, text in enumerate(group["c1"].cast(pa.binary()).to_pylist()):
+            words = (text or b"").split()
+            if removed[i]:
+                words = [w for w, g in zip(words, gone[ends[i] - n[i] : ends[i]].tolist(), strict=True) if not g]
+            hashes.append(sha256(b" ".join(words)).hexdigest())
+        return pa.table({"doc_id": group["c0"], "n_words": pa.array(n), "n_removed": pa.array(removed), "kept_sha256": pa.array(hashes, pa.string())})
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _by_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string", **_options(**options))
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
     """`docs`, all rows and columns; repeated words are cut out of the text with the white space after them, and n_chars follows where there is such a column."""
-    rows = _with_intervals(docs, repeated_intervals(docs, **options), docs.columns)
     names = docs.columns
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
-    def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(batch_rows, 4_000_000, "text"):
-            texts, spans_ = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            sizes = batch.column(chars).to_pylist() if chars is not None else []
-            for i, found in enumerate(spans_):
-                if found and texts[i]:
-                    places = [m.span() for m in WORDS.finditer(texts[i])]
-                    gone = _removed(len(places), found).tolist()
-                    stops = [p[0] for p in places[1:]] + [len(texts[i])]
-                    texts[i] = texts[i][: places[0][0]] + "".join(texts[i][p[0] : stop] for p, stop, g in zip(places, stops, gone, strict=True) if not g)
-                    if chars is not None:
-                        sizes[i] = len(texts[i])
-            columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array(texts, pa.string())
-            if chars is not None:
-                columns[chars] = pa.array(sizes, columns[chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return rows.mapInArrow(run, docs.schema)
+    def run(group: pa.Table, block: Block, gone: np.ndarray) -> pa.Table:
+        n = np.bincount(block.owner, minlength=group.num_rows)
+        ends, cut = np.cumsum(n), np.unique(block.owner[gone])
+        columns = [group[f"c{i}"] for i in range(len(names))]
+        texts = columns[at].to_pylist()
+        for i in cut.tolist():
+            places = [m.span() for m in WORDS.finditer(texts[i])]
+            stops = [p[0] for p in places[1:]] + [len(texts[i])]
+            texts[i] = texts[i][: places[0][0]] + "".join(texts[i][p[0] : stop] for p, stop, g in zip(places, stops, gone[ends[i] - n[i] : ends[i]].tolist(), strict=True) if not g)
+        columns[at] = pa.array(texts, pa.string())
+        if chars is not None:
+            sizes, changed = columns[chars].to_pylist(), set(cut.tolist())
+            columns[chars] = pa.array([len(texts[i]) if i in changed else x for i, x in enumerate(sizes)], columns[chars].type)
+        return pa.Table.from_arrays(columns, [f"c{i}" for i in range(len(names))])
+
+    schema = docs.toDF(*(f"c{i}" for i in range(len(names)))).schema
+    return _by_block(docs, run, schema, **_options(**options)).toDF(*names)
 
 
 def op7_substring_dedup(spark, sf_dir):

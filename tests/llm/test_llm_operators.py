@@ -319,7 +319,7 @@ def test_best_two_fit_uses_up_everything():
     assert sorted(packing.best_two_fit({60: 1, 30: 1, 20: 2}, 100)[0][0]) == [20, 20, 60]
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_spans": 1, "shard_words": 500}, {"window": 12, "gram": 5}, {"window": 3}])
+@pytest.mark.parametrize("options", [{}, {"hot_spans": 1, "block_bytes": 9_000, "bucket_bytes": 5_000}, {"hot_spans": 12, "block_bytes": 3_000, "bucket_bytes": 40_000}, {"window": 12, "gram": 5, "block_bytes": 5_000}, {"window": 3}, {"window": 75, "gram": 5}])
 def test_substrings(docs, rows, options):
     w = options.get("window", 35)
     words = [WORD.findall(r[1] or "") for r in rows]
@@ -336,6 +336,17 @@ def test_substrings(docs, rows, options):
     assert sum(x[2] for x in want) > 0
 
 
+def test_substrings_keep_columns_of_any_name(spark):
+    """Names that the operator uses inside, or that need quotes, come back as they were."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(1, f"a {passage} b", "x", 7, "r", 3), (2, f"c  d\t{passage}", None, 8, None, None), (None, passage, "y", None, "s", 1), (3, None, "z", 1, "t", 2)]
+    names = ["doc_id", "text", "_rid", "block", "a.b", "c0"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string, y long, z string, w int").toDF(*names)
+    cut = substrings.without_repeats(docs)
+    assert cut.columns == names
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([(1, "a b", "x", 7, "r", 3), (2, "c  d\t", None, 8, None, None), (None, "", "y", None, "s", 1), (3, None, "z", 1, "t", 2)], key=str)
+
+
 def test_texts_without_repeats(docs, rows):
     cut = substrings.without_repeats(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows)
