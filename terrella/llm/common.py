@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+#: Used only where the session names no checkpoint folder and runs in one process, as in tests.
 FALLBACK_SCRATCH = "file:///tmp/terrella-scratch"
 
 
@@ -18,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SCRATCH
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root or FALLBACK_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
