@@ -8,6 +8,10 @@ different lengths, not the number of pieces. Pieces are then dealt to pattern pl
 the same length. Ranks come from counts by (length, salt), so a length that a third of all pieces have is never
 sorted in one task. Token ids never move between tasks.
 
+The plan goes to all tasks. It has one row for each length of a pattern: of a length n at most 2 * length / n patterns are
+made beyond those that use it up, and a pattern has at most sqrt(2 * length) different lengths, so that 2.3 million rows of 32 bytes bound it at
+2,048 tokens whatever the input; on the test tables it has some thousands.
+
 Cases: a null text counts as empty, so it is its end id alone; longer documents than a sequence are cut from the end
 into whole sequences, the first piece takes the rest; repeated rows are packed independently; an empty table gives no rows; other columns
 are dropped.
@@ -18,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +34,14 @@ from terrella.llm.common import batches, bits_for, text_of, written
 
 #: Pieces that are ranked in one sort on average.
 PIECES_PER_SORT = 16_384
-#: The plan has one row per place of a pattern. Its size follows the number of lengths; beyond this it is joined by shuffling.
-PLAN_ROWS_BROADCAST = 1_000_000
 
 
 @functools.cache
 def byte_level_encoder(path: str):
     """An encoder of whole texts with the vocabulary and merges of a byte-level BPE file of the tokenizers library.
 
-    The file's merges are in the order of their ids, which is checked, so ids serve as ranks for the faster library.
+    The file's merges are in the order of their ids, which is checked, so ids serve as ranks for the faster library. Added tokens stand for themselves
+    wherever a text spells them, as in that library.
     """
     import public_tokenizers
     import tiktoken
@@ -46,13 +50,20 @@ def byte_level_encoder(path: str):
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(visible)]
     byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(others)}
-    special = {x["content"] for x in spec["added_tokens"]}
+    if any(x[flag] for x in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("only added tokens that match wherever they stand are supported")
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
     ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
     made = [spec["model"]["vocab"][a + b] for a, b in merges]
     if made != sorted(made):
         raise ValueError("the merges are not in the order of their ids")
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        return encoding.encode(text, allowed_special="all") if any(x in text for x in special) else encoding.encode_ordinary(text)
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -60,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id:
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_level_encoder(tokenizer).encode_ordinary
+        encode = byte_level_encoder(tokenizer)
         for batch in batches(rows, 4_000_000, "text"):
             out, ids_out = [], []
             for doc, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), strict=True):
@@ -130,9 +141,29 @@ def _best_pair(left: np.ndarray, largest: np.ndarray, room: int) -> list[int] |
     return [int(a[i]), int(b[i])] if total[i] else None
 
 
+class Plan:
+    """Sequence and offset of the pieces of each length by their rank."""
+
+    def __init__(self, patterns: list[tuple[list[int], int]]):
+        rows, used, sequence = [], {}, 0
+        for lengths, copies in patterns:
+            offset = 0
+            for n, uses in sorted(Counter(lengths).items(), reverse=True):
+                rows.append((n, used.get(n, 0), copies, sequence, offset))
+                used[n] = used.get(n, 0) + uses * copies
+                offset += n * uses
+            sequence += copies
+        self.length, self.first, self.copies, self.sequence, self.offset = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+        self.keys = (self.length << 44) + self.first
+
+    def places(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, (length << 44) + rank, side="right") - 1
+        use, copy = np.divmod(rank - self.first[at], self.copies[at])
+        return self.sequence[at] + copy, self.offset[at] + use * length
+
+
 def pack(pieces: DataFrame, *, length: int = 2048, pieces_per_sort: int = PIECES_PER_SORT) -> DataFrame:
     """`pieces` (at least doc_id, piece, length, ids_crc32) with sequence_id and offset."""
-    spark = pieces.sparkSession
     rows = pieces.count()
     salts = 1 << bits_for(rows, pieces_per_sort)
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
@@ -142,21 +173,18 @@ def pack(pieces: DataFrame, *, length: int = 2048, pieces_per_sort: int = PIECES
     offsets = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # one row per length
 
-    used, places, sequence = dict.fromkeys(histogram, 0), [], 0
-    for lengths, copies in best_two_fit(histogram, length):
-        offset = 0
-        for n in lengths:
-            places.append((n, used[n], used[n] + copies, sequence, offset))
-            used[n] += copies
-            offset += n
-        sequence += copies
-    plan = spark.createDataFrame(pa.Table.from_arrays([pa.array([p[i] for p in places], pa.int64()) for i in range(5)], ["length", "_lo", "_hi", "_sequence", "offset"]))
-    plan = F.broadcast(plan) if len(places) <= PLAN_ROWS_BROADCAST else plan
-
+    plan = Plan(best_two_fit(histogram, length))
     inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(inner) - 1)
-    placed = ranked.alias("r").join(plan.alias("p"), (F.col("r.length") == F.col("p.length")) & (F.col("r._rank") >= F.col("p._lo")) & (F.col("r._rank") < F.col("p._hi")))
-    return placed.select(*(F.col(f"r.{c}").alias(c) for c in pieces.columns), (F.col("p._sequence") + F.col("r._rank") - F.col("p._lo")).alias("sequence_id"), F.col("p.offset").alias("offset"))
+    names = pieces.columns
+
+    def place(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_:
+            sequence, offset = plan.places(*(batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("length", "_rank")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    return ranked.select(*names, F.col("_rank").cast("long").alias("_rank")).mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:

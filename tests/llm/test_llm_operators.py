@@ -284,7 +284,8 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BYTE_BPE)
-    library.encode_special_tokens = True
+    rows = [*rows, (7000, "a <|endoftext|> b", "en", "a", 17), (7001, "<|endoftext|><|endoftext|>\n", "en", "a", 0), (7002, "<|endoftext| >", "en", "a", 0)]
+    docs = docs.unionByName(docs.sparkSession.createDataFrame(rows[-3:], SCHEMA), allowMissingColumns=True)
     got = packing.pack_documents(docs, BYTE_BPE, length=64).collect()
     by_doc = {}
     for r in got:
