@@ -1,14 +1,15 @@
 """Media columns: images in Netpbm and BMP form decoded to numpy arrays, resized, hashed and stored as NPY tiles.
 
-`decode` reads binary Netpbm (P4, P5, P6; samples of 8 or 16 bits) and uncompressed BMP (1, 4, 8, 24 and 32 bits,
-either row order). `area_resize` averages source areas exactly by an integral image, fractional edges included.
+`decode` reads binary Netpbm (P4, P5, P6; samples of 8 or 16 bits) and uncompressed BMP (1, 4, 8, 16, 24 and 32 bits,
+either row order, bit fields, old core headers). `area_resize` averages source areas exactly by an integral image, fractional edges included; the
+integral image is made strip by strip, and only the rows that target cells end at are kept, so memory follows a strip.
 `difference_hash` compares neighbours of a 9 x 8 reduction: 64 bits. `to_tiles` cuts an array into NPY streams laid
 end to end, `from_tiles` reads them back.
 
 `store_text` shows the path on a table of texts: each text's bytes, filled up with bytes 255 to whole rows, become a
 grey image, are decoded from its PGM form, stored as tiles and read back.
 
-Cases: a null text counts as empty and gives one unit of padding; equal texts give equal values; texts of any length
+Cases: an image without rows or columns has a difference hash of zeros and one empty tile; a null text counts as empty and gives one unit of padding; equal texts give equal values; texts of any length
 are stored whole, tile by tile; repeated rows each give a row; an empty table gives no rows; other columns are dropped.
 """
 
@@ -28,8 +29,8 @@ from terrella.llm.common import batches, text_of
 
 #: Bytes that a payload's length is a multiple of, and the image's width: a unit is six rows.
 UNIT, WIDTH = 576, 96
-#: Rows of a tile.
-TILE_ROWS = 576
+#: Rows of a tile, and of a strip of an integral image.
+TILE_ROWS, STRIP_ROWS = 576, 4_096
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -72,16 +73,25 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
-    start, header, width, height, planes, depth, compression = struct.unpack_from("<IIiiHHI", data, 10)
-    if planes != 1 or depth not in (1, 4, 8, 24, 32) or compression not in (0, 3) or (compression == 3 and depth != 32):
+    start, header = struct.unpack_from("<II", data, 10)
+    if header == 12:
+        (width, height, planes, depth), compression, used, entry = struct.unpack_from("<HHHH", data, 18), 0, 0, 3
+    else:
+        width, height, planes, depth, compression = struct.unpack_from("<iiHHI", data, 18)
+        used, entry = struct.unpack_from("<I", data, 46)[0], 4
+    if planes != 1 or width < 0 or (depth, compression) not in ((1, 0), (4, 0), (8, 0), (16, 0), (24, 0), (32, 0), (16, 3), (32, 3)):
         raise ValueError("this kind of BMP is not supported")
     rows, stride = abs(height), (width * depth + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, stride * rows, start).reshape(rows, stride)
     raw = raw[::-1] if height > 0 else raw
+    if depth == 16 or compression == 3:
+        masks = struct.unpack_from("<III", data, 54) if compression == 3 else (0x7C00, 0x03E0, 0x001F)
+        pixels = np.ascontiguousarray(raw).view("<u2" if depth == 16 else "<u4")[:, :width]
+        return np.stack([_field(pixels, m) for m in masks], axis=2).astype(np.uint8)
     if depth >= 24:
         return raw[:, : width * depth // 8].reshape(rows, width, depth // 8)[:, :, 2::-1]
-    used = struct.unpack_from("<I", data, 46)[0] or 1 << depth
-    palette = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(used, 4)[:, 2::-1]
+    used = used or 1 << depth
+    palette = np.frombuffer(data, np.uint8, used * entry, 14 + header).reshape(used, entry)[:, 2::-1]
     if depth < 8:
         bits = np.unpackbits(raw, axis=1).reshape(rows, -1, depth)
         index = bits.dot(1 << np.arange(depth - 1, -1, -1))[:, :width]
@@ -90,25 +100,48 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return palette[index]
 
 
+def _field(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask, brought to 0 .. 255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    return ((pixels & mask).astype(np.uint64) >> low) * 255 // (mask >> low)
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image[:, :, :3].astype(np.float64) @ np.array([0.299, 0.587, 0.114])
 
 
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Mean of the source area under each target cell, by an integral image."""
-    total = np.zeros((image.shape[0] + 1, image.shape[1] + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
-    for axis, n in ((0, rows), (1, columns)):
-        size = image.shape[axis]
-        at = np.arange(n + 1) * size / n
-        low = np.minimum(at.astype(np.int64), size - 1)
-        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
-        total = total.take(low, axis) * (1 - part) + total.take(low + 1, axis) * part
-    return np.diff(np.diff(total, axis=0), axis=1) * (rows * columns / (image.shape[0] * image.shape[1]))
+    height, width = image.shape
+    low, part = _ends(height, rows)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    kept, carry = np.zeros((len(wanted), width + 1)), np.zeros(width + 1)
+    for at in range(0, height, STRIP_ROWS):
+        strip = np.zeros((min(STRIP_ROWS, height - at) + 1, width + 1))
+        np.cumsum(np.cumsum(image[at : at + STRIP_ROWS], axis=0, dtype=np.float64), axis=1, out=strip[1:, 1:])
+        here = np.flatnonzero((wanted >= at) & (wanted < at + len(strip)))
+        kept[here] = carry + strip[wanted[here] - at]
+        carry = carry + strip[-1]
+    place = np.searchsorted(wanted, low)
+    total = kept[place] * (1 - part[:, None]) + kept[place + 1] * part[:, None]
+    low, part = _ends(width, columns)
+    total = total.take(low, 1) * (1 - part) + total.take(low + 1, 1) * part
+    return np.diff(np.diff(total, axis=0), axis=1) * (rows * columns / (height * width))
+
+
+def _ends(size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n equal parts of `size` cells end: the cells before and the share of the next cell."""
+    at = np.arange(n + 1) * size / n
+    low = np.minimum(at.astype(np.int64), size - 1)
+    return low, at - low
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits in 16 hex digits: is a cell of the 8 x 9 reduction brighter than the one to its left?"""
+    if not image.shape[0] or not image.shape[1]:
+        return "0" * 16
     small = area_resize(grey(image), 8, 9)
     return np.packbits(np.diff(small, axis=1) > 1e-9).tobytes().hex()
 
