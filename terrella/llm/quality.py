@@ -1,17 +1,19 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are training rows labelled 1; unlabelled text is a sample of training documents whose labels are
-not looked at. The class prior is estimated as the share of 1 among labelled training rows. A linear model over
+not looked at; rows labelled 0 are never used. The class prior is estimated from these two alone: a classifier tells positives from unlabelled
+text on one half of the sample, and on the other half the prior is the least share of unlabelled over share of positive texts above any of
+its thresholds, the threshold being chosen with allowance for chance, as almost only positives stand above a high one. Then a linear model over
 text features minimises the non-negative unbiased risk
 
     prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)])
 
 with the logistic loss; where the second part falls below zero, the step goes against it instead. Features are shares of bytes
 and a few statistics of words and lines; none comes from labels, language, source or id. Only features of the
-bounded sample reach the driver; scoring is one pass over the texts without a shuffle.
+bounded sample reach the driver, each different row once; scoring is one pass over the texts without a shuffle.
 
 Cases: a null text counts as empty and is scored by features that are all zero; texts of any length are read whole; repeated rows each give a row; an empty table gives no
-rows; without any labelled positive every score is the prior (0.5 where nothing is labelled); other columns are dropped.
+rows; without any labelled positive or without training texts every score is 0.5; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -67,58 +69,89 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centre, scale and weights (the last one is the bias)."""
-    centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-
-    def standard(x: np.ndarray) -> np.ndarray:
-        return np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))]).astype(np.float64)
+    """Centre, scale and weights (the last one is the bias) of least non-negative risk."""
 
-    p, u = standard(positive), standard(unlabelled)
-    w = np.zeros(p.shape[1])
-    w[-1] = np.log(prior / (1 - prior))
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
+    def slope(p: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         zp, zu = p @ w, u @ w
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         grad_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        grad = prior * (p.T @ (sp - 1)) / len(p) + grad_negative if negative >= 0 else -grad_negative
-        grad = grad + decay * np.append(w[:-1], 0)
+        return prior * (p.T @ (sp - 1)) / len(p) + grad_negative if negative >= 0 else -grad_negative
+
+    return _minimised(slope, positive, unlabelled, float(np.log(prior / (1 - prior))), steps, rate, decay)
+
+
+def apart(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre, scale and weights of a classifier that tells positives from unlabelled texts, both counting the same."""
+
+    def slope(p: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (u.T @ (1 / (1 + np.exp(-(u @ w)))) / len(u) - p.T @ (1 / (1 + np.exp(p @ w))) / len(p)) / 2
+
+    return _minimised(slope, positive, unlabelled, 0.0, steps, rate, decay)
+
+
+def _minimised(slope, positive: np.ndarray, unlabelled: np.ndarray, bias: float, steps: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Descent with averaged moments and a falling rate over standardised features."""
+    centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    p, u = (np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))]).astype(np.float64) for x in (positive, unlabelled))
+    w = np.zeros(p.shape[1])
+    w[-1] = bias
+    mean, square = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        grad = slope(p, u, w) + decay * np.append(w[:-1], 0)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad**2
         w = w - rate * (1 - step / (steps + 1)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return centre, scale, w
 
 
-def train(docs: DataFrame, labels: DataFrame, *, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> tuple:
-    """A model from training rows only; returns what `score` takes."""
-    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality is not null and doc_id is not null").filter(~held_out("doc_id"))
-    marked = labels.agg(F.count("*").alias("n"), F.sum("quality").alias("p")).first()
-    rows = docs.count()
-    if not marked["n"] or not marked["p"] or not rows:
-        return None, float(marked["p"] or 0) / marked["n"] if marked["n"] else 0.5
-    prior = float(np.clip(marked["p"] / marked["n"], 0.02, 0.98))
+def margins(x: np.ndarray, model: tuple) -> np.ndarray:
+    centre, scale, w = model
+    return (np.clip((x - centre) / scale, -8, 8) * w[:-1]).sum(1) + w[-1]  # row by row, so that equal texts score the same in any batch
+
 
-    def part(share: float, salt: int) -> F.Column:
-        return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, *, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows. Even rows fit a classifier, odd rows are measured; doubt: chance of a bound that fails."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    model = apart(positive[::2], unlabelled[::2])
+    p, u = np.sort(margins(positive[1::2], model)), np.sort(margins(unlabelled[1::2], model))
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, side="left") / len(u)
+    chance = np.sqrt(np.log(4 / doubt) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    best = int(((above_u + chance) / above_p).argmin())
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
-    chosen = labels.filter("quality = 1").filter(part(positives / marked["p"], 1)).select("doc_id").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").filter(~held_out("doc_id"))
-    sample = own.filter(part(unlabelled / (0.8 * rows), 2)).select("text", F.lit(0).alias("kind")).unionAll(own.join(chosen, "doc_id", "left_semi").select("text", F.lit(1).alias("kind")))
+
+def sampled(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at most so many positive and unlabelled training rows, in an order that follows their content."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("quality = 1 and doc_id is not null").filter(~held_out("doc_id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null").filter(~held_out("doc_id"))
+    marked, rows = labels.count(), docs.count()
 
     def run(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(batch_rows, 8_000_000, "text"):
-            x = features(text_of(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["kind", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in features(text_of(batch.column(1)))], pa.binary())], ["mark", "x"])
+
+    def chosen(of: DataFrame, most: int, among: float, salt: int) -> np.ndarray:
+        """A share of the rows by a hash of id and text, equal rows once; where ids or texts repeat so much that it is more than asked for, the first by that hash."""
+        mark = F.xxhash64(F.lit(salt), "doc_id", "text")
+        share = int(min(1.0, most / max(among, 1.0)) * (1 << 30))
+        part = of.filter(F.pmod(mark, F.lit(1 << 30)) < share).select(mark.alias("mark"), "text").dropDuplicates(["mark"])
+        found = part.mapInArrow(run, "mark long, x binary").orderBy("mark").limit(2 * most).toArrow()
+        return np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+
+    positive = own.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    return chosen(positive, positives, marked, 1), chosen(own, unlabelled, 0.8 * rows, 2)
 
-    found = sample.mapInArrow(run, "kind int, x binary").toArrow()
-    kinds = found["kind"].to_numpy()
-    order = np.array(sorted(range(len(kinds)), key=lambda i: (kinds[i], found_bytes[i]))) if (found_bytes := found["x"].to_pylist()) else np.array([], int)
-    x = np.frombuffer(b"".join(found_bytes), np.float32).reshape(-1, WIDTH)[order]
-    kinds = kinds[order]
-    if not (kinds == 1).any() or not (kinds == 0).any():
-        return None, prior
-    return fit(x[kinds == 1], x[kinds == 0], prior), prior
+
+def train(docs: DataFrame, labels: DataFrame, *, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> tuple:
+    """A model from training rows only; returns what `score` takes."""
+    p, u = sampled(docs, labels, positives, unlabelled)
+    if not len(p) or not len(u):
+        return None, 0.5
+    prior = class_prior(p, u)
+    return fit(p, u, prior), prior
 
 
 def score(docs: DataFrame, model: tuple) -> DataFrame:
@@ -136,9 +169,7 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
 def scores(texts: list[str], weights: tuple | None, prior: float) -> np.ndarray:
     if weights is None:
         return np.full(len(texts), prior)
-    centre, scale, w = weights
-    z = np.clip((features(texts) - centre) / scale, -8, 8) @ w[:-1] + w[-1]
-    return 1 / (1 + np.exp(-z))
+    return 1 / (1 + np.exp(-margins(features(texts), weights)))
 
 
 def keep(docs: DataFrame, model: tuple) -> DataFrame:

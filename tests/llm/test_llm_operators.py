@@ -257,6 +257,16 @@ def test_image_forms():
     indexed[:, :7] = grey
     head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54 + 1024, 40, 7, -5, 1, 8, 0, 0, 0, 0, 256, 0)
     assert (media.decode(head + palette.tobytes() + indexed.tobytes())[:, :, 0] == grey).all()
+    # Old core header with a palette of three bytes; fields of 5, 6 and 5 bits; 5, 5 and 5 bits.
+    head = struct.pack("<2sIHHIIHHHH", b"BM", 0, 0, 0, 26 + 768, 12, 7, 5, 1, 8)
+    assert (media.decode(head + np.ascontiguousarray(palette[:, :3]).tobytes() + indexed[::-1].tobytes())[:, :, 0] == grey).all()
+    packed = np.zeros((5, 8), "<u2")
+    packed[:, :7] = (colour[:, :, 0] >> 3).astype(int) << 11 | (colour[:, :, 1] >> 2).astype(int) << 5 | colour[:, :, 2] >> 3
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 66, 40, 7, -5, 1, 16, 3, 0, 0, 0, 0, 0) + struct.pack("<III", 0xF800, 0x07E0, 0x001F)
+    got = media.decode(head + packed.tobytes())
+    assert got.dtype == np.uint8 and (abs(got.astype(int) - colour) <= 8).all() and media.decode(head + np.full((5, 8), 0xFFFF, "<u2").tobytes()).min() == 255
+    head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 0, 0, 0, 54, 40, 7, -5, 1, 16, 0, 0, 0, 0, 0, 0)
+    assert media.decode(head + np.full((5, 8), 0x7C00, "<u2").tobytes()).tolist() == [[[255, 0, 0]] * 7] * 5
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
 
@@ -267,14 +277,19 @@ def test_area_resize():
     np.testing.assert_allclose(media.area_resize(x, 5, 7).mean(), x.mean())
     fine = np.repeat(np.repeat(x, 5, 0), 7, 1)
     np.testing.assert_allclose(media.area_resize(x, 5, 7), fine.reshape(5, 12, 7, 18).mean((1, 3)))
+    tall = np.random.default_rng(5).integers(0, 256, (2 * media.STRIP_ROWS + 70, 6)).astype(np.uint8)  # over three strips
+    n = len(tall)
+    np.testing.assert_allclose(media.area_resize(tall, 2, 3), tall.reshape(2, n // 2, 3, 2).mean((1, 3)))
+    np.testing.assert_allclose(media.area_resize(tall, 9, 5), np.repeat(np.repeat(tall.astype(float), 9, 0), 5, 1).reshape(9, n, 5, 6).mean((1, 3)))
 
 
 def test_image_table(spark):
     buffer = io.BytesIO()
     buffer.write(b"P5\n9 8\n255\n" + bytes(range(72)))
-    table = spark.createDataFrame([(1, bytearray(buffer.getvalue()), 5), (2, None, 6), (3, bytearray(b"P5\n9"), 7)], "id long, content binary, height long")
+    table = spark.createDataFrame([(1, bytearray(buffer.getvalue()), 5), (2, None, 6), (3, bytearray(b"P5\n9"), 7), (4, bytearray(b"P5\n0 4\n255\n"), 8), (5, bytearray(b"P6\n4 0\n255\n"), 8)], "id long, content binary, height long")
     got = {r["id"]: r for r in media.image_features(table).collect()}
     assert got[1]["height"] == 8 and got[1]["feature"] == "ff" * 8 and got[2]["error"] and got[3]["error"]
+    assert [(got[i]["height"], got[i]["width"], got[i]["feature"], got[i]["error"]) for i in (4, 5)] == [(4, 0, "0" * 16, None), (0, 4, "0" * 16, None)]
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -538,6 +553,64 @@ def test_quality(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["predicted"]}
 
 
+def plain_risk(p, u, prior, w):
+    """The non-negative unbiased risk as its formula says, row by row."""
+    loss = lambda z: math.log1p(math.exp(-abs(z))) + max(-z, 0)
+    right = sum(loss(float(x @ w)) for x in p) / len(p)
+    wrong = sum(loss(-float(x @ w)) for x in p) / len(p)
+    return prior * right + max(0.0, sum(loss(-float(x @ w)) for x in u) / len(u) - prior * wrong)
+
+
+def test_quality_minimises_the_risk():
+    """Against plain descent on numerical slopes of the same risk."""
+    rng = np.random.default_rng(14)
+    p, n = rng.normal(1, 1, (150, 2)), rng.normal(-1, 1, (60, 2))
+    u = np.concatenate([rng.normal(1, 1, (140, 2)), n])
+    centre, scale, w = quality.fit(p, u, 0.7)
+    standard = lambda x: np.hstack([np.clip((x - centre) / scale, -8, 8), np.ones((len(x), 1))])
+    ps, us, plain = standard(p), standard(u), np.zeros(3)
+    for _ in range(150):
+        slope = [(plain_risk(ps, us, 0.7, plain + 1e-5 * e) - plain_risk(ps, us, 0.7, plain - 1e-5 * e)) / 2e-5 for e in np.eye(3)]
+        plain -= 0.5 * np.array(slope)
+    assert plain_risk(ps, us, 0.7, w) <= plain_risk(ps, us, 0.7, plain) + 0.01
+    got = quality.margins(u, (centre, scale, w))
+    assert np.mean((got > 0) == (us @ plain > 0)) > 0.95
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_class_prior_needs_no_negatives(share):
+    rng = np.random.default_rng(15)
+    positive, unlabelled = rng.normal(1.5, 1, (4000, 3)), np.concatenate([rng.normal(1.5, 1, (int(6000 * share), 3)), rng.normal(-1.5, 1, (6000 - int(6000 * share), 3))])
+    assert quality.class_prior(positive, rng.permutation(unlabelled)) == pytest.approx(share, abs=0.06)
+
+
+def test_quality_scores_follow_the_features(spark, docs, rows):
+    """Against features counted character by character and a plain weighted sum; the sample is bounded whatever a doc_id repeats."""
+    labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    (centre, scale, w), _ = model
+    for r in quality.score(docs, model).collect():
+        text = next(x[1] for x in rows if x[0] == r["doc_id"]) or ""
+        x = [0.0] * quality.WIDTH
+        if text:
+            data, words, lines = text.encode(), text.split(), text.split("\n")
+            x[:128] = [math.sqrt(data.count(bytes([b])) / len(data)) for b in range(128)]
+            part = lambda test: sum(map(test, data)) / len(data)
+            lower, upper, digits, wide = part(lambda b: 97 <= b < 123), part(lambda b: 65 <= b < 91), part(lambda b: 48 <= b < 58), part(lambda b: b > 127)
+            most = [c for _, c in Counter(words).most_common(3)] or [0]
+            many, n = len(words) >= 8, max(1, len(words))
+            x[128:] = [
+                lower, upper, digits, lower + upper + wide, wide, 1 - lower - upper - wide - digits - part(lambda b: b == 32 or 9 <= b < 14), upper / (lower + upper + 1e-3),
+                sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words) - 1), most[0] / n * many, sum(most) / n * many, len(data) / n / 20, math.log1p(len(words)) / 10,
+                1 - len(set(lines)) / len(lines), math.log1p(len(data) / len(lines)) / 10,
+            ]
+        z = float(np.clip((np.array(x, np.float32) - centre) / scale, -8, 8) @ w[:-1] + w[-1])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4) and r["predicted"] == (r["score"] >= 0.3)
+    one = spark.createDataFrame([(3, f"text {i % 400}") for i in range(900)], "doc_id long, text string")
+    p, u = quality.sampled(one, spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int"), 20, 30)
+    assert len(p) <= 40 and len(u) <= 60
+
+
 def test_quality_without_labels(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
@@ -575,5 +648,9 @@ def test_empty_tables(nothing):
 def test_null_ids(spark):
     rows = [(None, "a b c d e", "en", "s", 0), (None, "a b c d e", "en", "s", 0), (None, None, None, None, None), (5, "q r s", "en", "s", 0)]
     docs = spark.createDataFrame(rows, SCHEMA)
+    vectors = spark.createDataFrame([(None, [1.0]), (0, [2.0]), (0, [2.0]), (1, [3.0])], "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["vec_id"]) for r in balltree.top_k(vectors, F.col("vec_id") % 20 == 0).collect()) == [(0, 1)]
+    labels = spark.createDataFrame([(None, 1, 0), (5, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, quality.train(docs, labels)).count() == 4
     for n in (pieces.encode(docs, MODEL).count(), simhash.near_duplicates(docs).count(), media.store_text(docs).count(), packing.pack_documents(docs, BYTE_BPE).count(), substrings.duplicate_words(docs).count(), ngrams.score_texts(docs).count(), interleave.interleave(docs).count(), licenses.scan(docs).count()):
         assert n == 4
