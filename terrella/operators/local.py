@@ -195,6 +195,22 @@ def remainder(a, b, *, overflow: str = "raise", numeric_errors: str = "invalid")
     return _arithmetic("remainder", a, b, _same_units(a, b), overflow, numeric_errors, integer, real)
 
 
+def _wrapped_power(x: Column, n: Column, size: int) -> Column:
+    """x ** n modulo `size`, between -size / 2 and size / 2: squares of x are multiplied for each bit that n has."""
+    whole, half = D.whole(size).cast("decimal(38,0)"), D.whole(size // 2).cast("decimal(38,0)")
+
+    def reduced(v: Column) -> Column:
+        r = (v % whole).cast("decimal(38,0)")
+        return F.when(r >= half, r - whole).when(r < -half, r + whole).otherwise(r).cast("decimal(38,0)")
+
+    def step(state: Column, bit: Column) -> Column:
+        used = F.call_function("shiftright", n, bit) % 2 == 1
+        return F.struct(F.when(used, reduced(state["out"] * state["square"])).otherwise(state["out"]).alias("out"), reduced(state["square"] * state["square"]).alias("square"))
+
+    bits = F.sequence(F.lit(0), F.when(n > 0, F.length(F.bin(n)) - 1).otherwise(F.lit(0)).cast("int"))
+    return F.aggregate(bits, F.struct(F.lit(1).cast("decimal(38,0)").alias("out"), reduced(x).alias("square")), step, lambda state: state["out"])
+
+
 def power(base, exponent, *, output_units: str | None = None, overflow: str = "raise", numeric_errors: str = "invalid") -> Raster:
     units = U.power(_units_of(base), _units_of(exponent), None if isinstance(exponent, Raster) else exponent, output_units, base_is_raster=isinstance(base, Raster))
     d = D.result("power", *_dtypes(base, exponent), overflow="raise" if overflow == "promote" else overflow)
@@ -206,18 +222,18 @@ def power(base, exponent, *, output_units: str | None = None, overflow: str = "r
     low, high = D.bounds(d)
     size = high - low + 1
     n = _exact(b, d, False)
-    steps = F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(64 if overflow == "raise" else 1 << 16)).cast("int"))).otherwise(F.array().cast("array<int>"))
     x = _wide(a)
     if overflow == "wrap":
-        def times(acc, _):
-            return ((acc * x) % D.whole(size).cast("decimal(38,0)")).cast("decimal(38,0)")
+        value = _wrapped_power(x, n, size)
     else:
+        steps = F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(64)).cast("int"))).otherwise(F.array().cast("array<int>"))
         limit = D.whole(1 << 65).cast("decimal(38,0)")
 
         def times(acc, _):
             p = acc.cast("decimal(38,0)") * x
             return F.when(F.abs(acc) > limit, acc).otherwise(p.cast("decimal(38,0)")).cast("decimal(38,0)")
-    value = F.when((n > 64) & (F.abs(x) <= 1), F.when((x == -1) & (n % 2 == 1), F.lit(-1)).otherwise(F.abs(x)).cast("decimal(38,0)")).otherwise(F.aggregate(steps, F.lit(1).cast("decimal(38,0)"), times))
+
+        value = F.when((n > 64) & (F.abs(x) <= 1), F.when((x == -1) & (n % 2 == 1), F.lit(-1)).otherwise(F.abs(x)).cast("decimal(38,0)")).otherwise(F.aggregate(steps, F.lit(1).cast("decimal(38,0)"), times))
     return _domain(first, "power", D.fitted(F.when(n < 0, F.lit(0).cast("decimal(38,0)")).otherwise(value), d, overflow), _valid(a, b), d, numeric_errors, n < 0, units=units)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from terrella.errors import OperationError
-from terrella.functions.text import digest, normalized
+from terrella.functions.text import digest, canonical
 from terrella.operators.temporal import TemporalRaster, lifted
 from terrella.plans import registry
 from terrella.raster import Raster
@@ -27,7 +27,7 @@ class Expression:
 
     def __init__(self, operation: str, operands: tuple, parameters: dict[str, Any], result):
         self.operation, self.operands, self.parameters, self.result = operation, operands, parameters, result
-        self.key = digest({"operation": operation, "operands": [o.key if isinstance(o, Expression) else normalized(o) for o in operands], "parameters": normalized(parameters)})
+        self.key = digest({"operation": operation, "operands": [o.key if isinstance(o, Expression) else canonical(o) for o in operands], "parameters": canonical(parameters)})
         nodes = self.nodes()
         if len(nodes) > MAX_NODES or _depth(self) > MAX_DEPTH or sum(n.operation in ("source", "constant", "temporal.source") for n in nodes) > MAX_SOURCES:
             raise OperationError("The plan is too large.", code="plan_limits", details={"nodes": len(nodes)})
@@ -62,7 +62,7 @@ class Expression:
     def to_json(self) -> str:
         nodes = self.nodes()
         ids = {n.key: f"n{i}" for i, n in enumerate(nodes)}
-        return json.dumps({"version": 1, "root": ids[self.key], "nodes": [{"id": ids[n.key], "operation": n.operation, "operands": [{"node": ids[o.key]} if isinstance(o, Expression) else {"scalar": normalized(o)} for o in n.operands], "parameters": normalized(n.parameters), "dtype": n.dtype, "units": n.units, "grid": None if n.grid is None else normalized(n.grid.to_dict())} for n in nodes]}, sort_keys=True, separators=(",", ":"))
+        return json.dumps({"version": 1, "root": ids[self.key], "nodes": [{"id": ids[n.key], "operation": n.operation, "operands": [{"node": ids[o.key]} if isinstance(o, Expression) else {"scalar": canonical(o)} for o in n.operands], "parameters": canonical(n.parameters), "dtype": n.dtype, "units": n.units, "grid": None if n.grid is None else canonical(n.grid.to_dict())} for n in nodes]}, sort_keys=True, separators=(",", ":"))
 
     to_canonical_json = to_json
 

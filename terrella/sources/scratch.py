@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no checkpoint folder, as in tests on one machine.
+from terrella.errors import StorageError
+
+#: Used only where the session names no checkpoint folder and runs in one process, as in tests.
 FALLBACK = "file:///tmp/terrella-scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+        raise StorageError("spark.checkpoint.dir must name a folder that the driver and all executors share.", code="no_shared_folder")
+    root = root or FALLBACK
     return f"{root.rstrip('/')}/terrella/{name}-{uuid.uuid4().hex}"
 
 

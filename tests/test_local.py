@@ -141,3 +141,13 @@ def test_one_table_means_no_join(rasters):
     a, _, _ = rasters
     plan = ((a + 1) * (a - 2)).df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_power_wraps_exactly_for_every_exponent(spark):
+    base = np.array([[3, 5, -3, 7], [2, -1, 0, 10], [-(2**31), 2**31 - 1, 1, 6]], np.int32)
+    for dtype, bits in ((np.int32, 32), (np.int64, 64)):
+        a = Raster.from_array(spark, base.astype(dtype), G)
+        for n in (0, 1, 63, 70_000, 70_001, 2**31 - 1):
+            want = [[(pow(int(x), n, 2**bits) + 2 ** (bits - 1)) % 2**bits - 2 ** (bits - 1) for x in row] for row in base]
+            got, _ = local.power(a, n, overflow="wrap").collect()
+            assert got.tolist() == want, (dtype, n)

@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrella.errors import EngineError, OperationError, StorageError
 from terrella.functions import text
@@ -130,10 +131,44 @@ def test_catalogue(spark, tmp_path):
 
 def test_names():
     assert text.safe_scenario_name("  LOLA DEM (87S) v1.0!! ") == "lola_dem_87s_v1.0"
+    assert text.safe_scenario_name("__a__b - c._") == "a_b_-_c"
     with pytest.raises(OperationError):
         text.safe_scenario_name("???")
 
 
+def test_words_are_found_whatever_their_case(spark):
+    names = spark.createDataFrame([("Große STRASSE",), ("aXa",), ("a.b",)], "name string")
+    hits = lambda pattern: [r[0] for r in names.filter(text.matches_words(F.col("name"), pattern)).collect()]
+    assert hits("straße") == hits("GROSSE strasse") == ["Große STRASSE"] and hits("strasse grosse") == []
+    assert hits("a a") == ["aXa"] and hits("a x a x") == [] and hits("a.b") == ["a.b"] and len(hits("")) == 3
+
+
+def test_canonical_texts():
+    same = [({"b": 1, "a": 2.0}, {"a": 2.0, "b": 1}), (np.int64(3), 3), (float("nan"), np.float64("nan")), (np.arange(3), np.arange(3))]
+    assert all(text.canonical(a) == text.canonical(b) for a, b in same)
+    apart = [1, 1.0, True, "1", None, [1], (1,), {"1": 1}, {1: 1}, 0.0, -0.0, np.array([1]), np.array([[1]]), np.array([1], np.int8), ["a,b"], ["a", "b"]]
+    assert len({text.canonical(x) for x in apart}) == len(apart)
+    with pytest.raises(OperationError):
+        text.canonical(object())
+
+
+def test_no_scratch_folder_of_one_machine(spark, monkeypatch):
+    from terrella.errors import StorageError
+    from terrella.sources import scratch
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(StorageError):
+        scratch.scratch_path(Elsewhere, "x")
+
+
 def test_scenario(spark, raster, tmp_path):
     s = catalog.open_scenario(spark, f"file://{tmp_path}/here")
     with pytest.raises(EngineError):
