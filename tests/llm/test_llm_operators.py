@@ -133,9 +133,9 @@ def test_top_k_of_few_and_none(spark):
 def test_license_scan(spark, nothing):
     text = licenses.KNOWN["MIT"]
     shouted = "Copyright (c) 2021 Somebody\n\n" + text.upper().replace(",", " ,")
-    rows = [(1, text), (2, shouted), (3, text + " but not quite"), (4, None), (5, ""), (6, "Copyright 2020 A"), (7, licenses.KNOWN["Apache-2.0-notice"].replace("License", "Licence"))]
+    rows = [(1, text), (2, shouted), (3, text + " but not quite"), (4, None), (5, ""), (6, "Copyright 2020 A"), (7, licenses.KNOWN["Apache-2.0-header"].replace("License", "Licence")), (8, "Роман в стихах. " * 9 + text), (9, "The MIT License (MIT)\n\nCopyright (c) Jane Doe\n\n" + text), (10, "ISC License\n" + text)]
     got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "Apache-2.0-notice"}
+    assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: "Apache-2.0-header", 8: None, 9: "MIT", 10: None}
     assert licenses.scan(nothing).count() == 0
 
 
@@ -144,7 +144,7 @@ def test_licenses_wrapped_anywhere_under_any_notice(spark):
 
     notices = ["", "Copyright (c) 2021 Somebody", "Copyright Jane Doe", "Copyright (c) The Foo Authors", "(c) 1999-2004 A. B.", "© Jane Doe", "Copyright 2020 A\nAll rights reserved."]
     rows, want = [], {}
-    for name in ("MIT", "ISC", "Zlib"):
+    for name in licenses.KNOWN:
         for width in (40, 55, 60, 66, 70, 72, 76, 79, 80, 100):
             body = "\n\n".join(textwrap.fill(p, width) for p in licenses.KNOWN[name].split("\n\n"))
             for notice in notices:
@@ -154,6 +154,27 @@ def test_licenses_wrapped_anywhere_under_any_notice(spark):
     assert got == want
 
 
+def test_license_files(spark, tmp_path):
+    (tmp_path / "Long-1.0.txt").write_text("A licence of\nits own, and long.")
+    (tmp_path / "Other").write_text("Another one")
+    known = licenses.known_texts(spark, f"file://{tmp_path}")
+    docs = spark.createDataFrame([(1, "a LICENSE of its own and long"), (2, "another"), (3, "another one!")], "doc_id long, text string")
+    assert {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, known).collect()} == {1: "Long-1.0", 2: None, 3: "Other"}
+
+
+def test_license_sql_finds_the_same(spark, rows):
+    """The SQL of the query over planted licences, untitled, titled and with notices, and texts that have none."""
+    import duckdb
+    import pandas as pd
+
+    planted = [(10_000 + i, f"{notice}\n\n{text}") for notice in ("", "Copyright (c) 2021 Somebody") for i, (_, text) in enumerate(licenses.known_rows())]
+    texts = [(r[0], r[1]) for r in rows[:60]] + [(i + 500 * k, t) for k, (i, t) in enumerate(planted)] + [(8, "日本語 " + licenses.KNOWN["MIT"]), (9, "ÉÀ straße Ünï")]
+    documents = pd.DataFrame(texts, columns=["doc_id", "text"])
+    want = duckdb.connect().register("documents", documents).execute(licenses.scan_sql()).fetchall()
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] is not None for r in got) == len(planted)
+
+
 def brute_fingerprint(text):
     words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
