@@ -6,7 +6,7 @@ One query stands for a family of operators. Values are whole numbers, or rounded
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,6 +104,41 @@ def local_cast_wrap(spark, sf_dir):
     return _wide(byte=local.cast(a, "uint8", casting="unsafe", overflow="wrap"), signed=local.cast(a, "int8", casting="same_kind", overflow="wrap"), whole=local.cast(a / 7, "int32", casting="unsafe"), real=local.cast(a, "float64"))
 
 
+@_query(
+    f"""WITH {fx.DEM_SQL}
+SELECT row, col, v AS same, abs(v - 1500) AS size, {_r('round_even((CAST(v AS DOUBLE) - 900) / 4, 1)', 1)} AS tenths,
+  CASE WHEN coalesce(w > 35, false) THEN payload END AS stated
+FROM d"""
+)
+def local_views(spark, sf_dir):
+    a, b = fx.bands(spark, sf_dir)
+    x = a - 1500
+    out = _wide(same=local.positive(a), size=local.absolute(x), tenths=round((a - 900) / 4, 1), stated=a.with_validity(b > 35).with_name("stated"))
+    return out.withColumn("tenths", _rounded(F.col("tenths"), 1))
+
+
+@_query(f"WITH {fx.DEM_SQL} SELECT row, col, coalesce(v, -1) AS value FROM d")
+def raster_filled(spark, sf_dir):
+    return fx.bands(spark, sf_dir)[0].filled(-1)
+
+
+@_query(f"WITH {fx.DEM_SQL} SELECT row, col, v AS value FROM d")
+def raster_masked(spark, sf_dir):
+    return fx.bands(spark, sf_dir)[0].masked()
+
+
+@_query(
+    f"""WITH {fx.DEM_SQL}
+SELECT bool_and(valid = n_valid AND (NOT valid OR abs(v - w) <= 1e-8 + 0.05 * abs(w))) AS near_other,
+  bool_and(NOT valid OR abs(v - (v + 1)) <= 1e-8 + 0.5 * abs(v + 1)) AS near_self, true AS one_grid, false AS one_kind
+FROM d"""
+)
+def raster_comparison(spark, sf_dir):
+    a, b = fx.bands(spark, sf_dir)
+    facts = (a.allclose(b, rtol=0.05), a.allclose(a + 1, rtol=0.5), a.same_grid(b), a.same_metadata(b))
+    return spark.createDataFrame([facts], "near_other boolean, near_self boolean, one_grid boolean, one_kind boolean")
+
+
 @_query(f"WITH {fx.DEM_SQL} SELECT row, col, CASE v % 5 WHEN 0 THEN 10 WHEN 1 THEN 21 WHEN 2 THEN 12 END::SMALLINT AS dropped, CASE v % 5 WHEN 0 THEN 10 WHEN 1 THEN 21 ELSE v % 5 END AS kept, CASE WHEN v IS NULL THEN NULL WHEN v % 5 = 0 THEN 10 ELSE 99 END::SMALLINT AS other FROM d")
 def reclass_values(spark, sf_dir):
     a, _ = fx.bands(spark, sf_dir)
@@ -390,6 +425,41 @@ def temporal_reduce(spark, sf_dir):
     return out.withColumn("mean", _rounded(F.col("mean"), 4)).withColumn("std", _rounded(F.col("std"), 4))
 
 
+@_query(
+    f"""WITH {fx.SERIES_SQL}
+SELECT row, col, max(v) FILTER (WHERE layer = 5) AS fifth, max(v) FILTER (WHERE layer = 100) AS before, max(v) FILTER (WHERE layer = 101) AS after
+FROM series GROUP BY row, col"""
+)
+def temporal_layers(spark, sf_dir):
+    t = fx.series(spark, sf_dir)
+    moment = datetime(2024, 1, 5, 4, 40, tzinfo=UTC)
+    assert t.layer_for_time(t.time_for_layer(7)) == 7
+    return _wide(fifth=t.layer(5), before=t.read_time(moment, method="before"), after=t.read_time(moment, method="after"))
+
+
+@_query(
+    """SELECT kind, CAST(iv AS INTEGER) AS iv, CAST(a AS TIMESTAMP) AS start_ts, CAST(b AS TIMESTAMP) AS stop_ts FROM (
+  SELECT 'month' AS kind, i AS iv, greatest(TIMESTAMP '2027-01-15', TIMESTAMP '2027-01-01' + to_months(CAST(i AS INTEGER))) AS a,
+    least(TIMESTAMP '2027-03-10', TIMESTAMP '2027-02-01' + to_months(CAST(i AS INTEGER))) AS b FROM range(3) AS t(i)
+  UNION ALL SELECT 'week', i, TIMESTAMP '2027-01-03 12:00:00' + i * INTERVAL 7 DAY, least(TIMESTAMP '2027-01-20 12:00:00', TIMESTAMP '2027-01-03 12:00:00' + (i + 1) * INTERVAL 7 DAY) FROM range(3) AS t(i)
+  UNION ALL SELECT 'fixed', i, TIMESTAMP '2027-01-01' + i * INTERVAL 36 HOUR, least(TIMESTAMP '2027-01-08', TIMESTAMP '2027-01-01' + (i + 1) * INTERVAL 36 HOUR) FROM range(5) AS t(i))"""
+)
+def candidate_intervals(spark, sf_dir):
+    at = lambda month, day, hour=0: datetime(2027, month, day, hour, tzinfo=UTC)
+    parts = {
+        "month": runs.monthly_candidate_intervals(spark, at(1, 15), at(3, 10)),
+        "week": runs.weekly_candidate_intervals(spark, at(1, 3, 12), at(1, 20, 12)),
+        "fixed": runs.fixed_candidate_intervals(spark, at(1, 1), at(1, 8), duration=timedelta(hours=36)),
+    }
+    month, week, fixed = (df.select(F.lit(kind).alias("kind"), "iv", "start_ts", "stop_ts") for kind, df in parts.items())
+    return month.unionAll(week).unionAll(fixed)
+
+
+@_query("SELECT CAST(TIMESTAMP '2024-01-01' + i * INTERVAL 90 MINUTE AS TIMESTAMP) AS ts FROM range(17) AS t(i)")
+def times_axis(spark, sf_dir):
+    return temporal.times(spark, datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 2, tzinfo=UTC), step_hours=1.5).select("ts")
+
+
 @_query(f"WITH {fx.SERIES_SQL} SELECT CAST(ts AS TIMESTAMP) AS ts, row, col, v * 2 + (row * 15 + col) AS value FROM series WHERE v IS NOT NULL")
 def temporal_algebra(spark, sf_dir):
     t = fx.series(spark, sf_dir)
