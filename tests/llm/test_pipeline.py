@@ -1,5 +1,6 @@
 """The stages in order, each held against what it should do to its own input."""
 
+import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -88,3 +89,57 @@ def test_near_copies_of_five_word_shingles_go(spark):
     got = [tuple(r) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
     assert sorted(i for i, _ in got if i is not None and i < 9000) == sorted(i for i in want if i is not None)
     assert sorted(t for i, t in got if i == 9000) == sorted({t for i, t in rows if i == 9000}) and (None, "a b") in got
+
+
+def _groups(texts):
+    """The least index reachable from each text by pairs of a similarity of 0.8 or more, by comparing all."""
+    words = [re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_by_brute_force(spark):
+    from terrella.llm import minhash
+
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [None, "", " \n", "one two", "One\tTWO", "one two three four five", "one two three four five five", "x " * 400, "x " * 90]
+    for _ in range(25):  # each one drifts from the one before, so that first and last are far apart but joined by a chain
+        words = list(rng.choice(vocabulary, int(rng.integers(20, 200))))
+        for _ in range(int(rng.integers(2, 12))):
+            texts.append(" ".join(words))
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = str(rng.choice(vocabulary))
+    passage = list(rng.choice(vocabulary, 100))
+    texts += [" ".join([*passage, *rng.choice(vocabulary, int(rng.integers(5, 40)))]) for _ in range(150)]  # about as similar as it takes
+    texts += texts[20:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    root = {r["doc_id"]: r["root"] for r in minhash.near_copies(docs).collect()}
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(root[i], i)
+    assert [least[root[i]] for i in range(len(texts))] == _groups(texts)
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(docs).collect()) == sorted(set(_groups(texts)))
+
+
+def test_near_copies_of_odd_rows(spark):
+    from terrella.llm import minhash
+
+    schema = "doc_id long, text string, node string, root int, size int, shingle int, `a.b` int, key int, _text_key int"
+    rows = [(1, "a b c d e f", "n", 1, 2, 3, 4, 5, 6), (2, "a b c d e f", "n", 1, 2, 3, 4, 5, 6), (None, "a b c d e f", None, None, None, None, None, None, None), (3, None, None, 0, 0, 0, 0, 0, 0), (4, "", "", 0, 0, 0, 0, 0, 0), (5, "z", None, 7, 0, 0, 0, 0, 0), (5, "y", None, 8, 0, 0, 0, 0, 0), (5, "y", None, 8, 0, 0, 0, 0, 0)]
+    kept = minhash.deduplicated(spark.createDataFrame(rows, schema))
+    assert kept.schema.names == ["doc_id", "text", "node", "root", "size", "shingle", "a.b", "key", "_text_key"]
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (None, "a b c d e f"), (3, None), (5, "z"), (5, "y")], key=str)
+    assert minhash.deduplicated(spark.createDataFrame([], schema)).count() == 0
