@@ -8,8 +8,8 @@ to byte pieces.
 Merges cannot cross a place where no piece spans it: before a run of the space mark (no piece holds the mark after
 another character) and around a line feed (no piece holds it). Both facts are checked against the vocabulary when it
 is loaded. So texts are cut there, each distinct chunk is merged once per worker and kept in a table of bounded size,
-and every newly merged chunk of an Arrow batch is compared with the sentencepiece library in one call; a difference
-raises.
+and every newly merged chunk of an Arrow batch is compared with the sentencepiece library in one call, the decoded whole
+texts of the batch in another; a difference raises.
 
 Cases: null and empty texts give just the begin and end ids and decode to the empty text; texts of any length are
 encoded whole (long chunks use a heap); repeated rows each give a row; an empty table gives no rows; other columns
@@ -268,18 +268,20 @@ def encode(docs: DataFrame, model: str, *, check: bool = True, with_ids: bool =
             texts = text_of(batch.column(1))
             parts = [v.chunks(t) for t in texts]
             kept.learn(set().union(*parts))
-            n, hashes, decoded, ids_out, texts_out = [], [], [], [], []
+            n, hashes, ids_out, texts_out, whole = [], [], [], [], []
             for chunks in parts:
                 packed = begin + b"".join(map(kept.__getitem__, chunks)) + end
                 ids = memoryview(packed).cast("I").tolist()
-                text = v.decode(ids)
                 n.append(len(ids))
                 hashes.append(sha256(packed).hexdigest())
-                decoded.append(sha256(text.encode()).hexdigest())
+                texts_out.append(v.decode(ids))
+                if check:
+                    whole.append(ids)
                 if with_ids:
                     ids_out.append(packed)
-                if with_text:
-                    texts_out.append(text)
+            if check and whole and kept.library.decode(whole, num_threads=1) != texts_out:
+                raise AssertionError("the library decodes a text otherwise")
+            decoded = [sha256(text.encode()).hexdigest() for text in texts_out]
             columns = [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
