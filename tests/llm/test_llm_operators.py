@@ -124,6 +124,27 @@ def test_top_k(spark, shard, per_task):
     assert {q: sorted(v) for q, v in got.items()} == brute_top([(i, np.floor(64 * x)) for i, x in data], 20)
 
 
+def test_top_k_of_clusters_with_a_hot_vector(spark, monkeypatch):
+    """A third of all rows are one vector, the rest lie in far clusters: no task holds the hot ball, far balls are not visited."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(6) * 20
+    data = [(i, np.floor(rng.integers(-1, 2, 6) + centres[i % 6]) / 64) for i in range(400)] + [(i, centres[0] / 64) for i in range(400, 600)]
+    table = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in data], "vec_id long, embedding array<double>")
+    seen = []
+    settle = balltree.CoarseBalls.settle
+    monkeypatch.setattr(balltree.CoarseBalls, "settle", lambda balls, *found: (settle(balls, *found), seen.append(balls))[0])
+    got = {}
+    for r in balltree.top_k(table, F.col("vec_id") % 20 == 0, k=5, shard=40, per_task=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert {q: sorted(v) for q, v in got.items()} == brute_top([(i, np.floor(64 * x)) for i, x in data], 5)
+    balls = seen[0]
+    assert balls.shards.max() > 1 and len(balls.centres) > 4
+    asked = np.array([np.floor(64 * x) for i, x in data if i % 20 == 0])
+    kth = np.array([got[i][-1][2] for i, _ in data if i % 20 == 0], float)
+    at, _ = balls.visits(asked, kth)
+    assert len(at) < len(asked) * (balls.shards.sum() - 1) / 2
+
+
 def test_top_k_of_few_and_none(spark):
     table = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in balltree.top_k(table, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 64 * 128)]
