@@ -91,7 +91,7 @@ def _parsed(schema: str):
 
 
 def _arrow(kind: str) -> pa.DataType:
-    return {"int": pa.int32(), "smallint": pa.int16(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary()}[kind]
+    return {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16(), "float": pa.float32(), "double": pa.float64(), "binary": pa.binary()}[kind]
 
 
 def look(m: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +120,12 @@ def time_left(condition: np.ndarray, hours: np.ndarray) -> np.ndarray:
     return np.where(condition, total[until] - total[:-1], 0.0)
 
 
+def run_lengths(condition: np.ndarray) -> np.ndarray:
+    """For each sample the length of the run of the condition that it lies in; 0 where it does not hold."""
+    run = np.cumsum(~condition)
+    return np.where(condition, np.bincount(run, weights=condition, minlength=len(run) + 1)[run], 0).astype(np.int64)
+
+
 def visible(cells: DataFrame, vectors: DataFrame, grid: Grid) -> DataFrame:
     """ts, row, col and value (float) for cells (row, col, elevation, horizon) and a bounded table of vectors (ts, x, y, z)."""
     t = vectors.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "x", "y", "z").orderBy("us").toArrow()

@@ -145,10 +145,34 @@ def mission_duration_from(cells: DataFrame, grid: Grid, axis: DataFrame, interva
     return runs.mission_duration(samples, axis, intervals, stop=stop, output_unit=output_unit)
 
 
+def _havens_in_place(cells, sun_vectors, earth_vectors, grid, hours, earth_degrees, fraction) -> DataFrame:
+    bodies = [sun_vectors.join(earth_vectors.select("ts"), "ts", "left_semi"), earth_vectors.join(sun_vectors.select("ts"), "ts", "left_semi")]
+    table = bodies[0].select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.unix_micros(F.date_trunc("month", "ts")).alias("month")).orderBy("us").toArrow()
+    months, first = np.unique(table["month"].to_numpy(), return_index=True)
+
+    def havens(row, col, horizon, sun, earth):
+        low = disk.fractions(horizon, *sun).astype(np.float32).astype(np.float64) < fraction
+        out = disk.margins(horizon, *earth).astype(np.float32).astype(np.float64) < earth_degrees
+        longest = np.maximum.reduceat(np.where(out, disk.run_lengths(low), 0), first)
+        some, only = np.logical_or.reduceat(out, first), np.logical_and.reduceat(out, first)
+        found = np.where(~some | only, np.float32("nan"), longest.astype(np.float32) * np.float32(hours))
+        return [(row, col, int(m), float(h)) for m, h in zip(months, found, strict=True)]
+
+    made = disk.per_cell(cells, bodies, grid, havens if len(months) else lambda *_: [], "row int, col int, month bigint, hours float")
+    return made.withColumn("month", F.timestamp_micros("month"))
+
+
 def safe_havens(cells: DataFrame, sun_vectors: DataFrame, earth_vectors: DataFrame, grid: Grid, *, step: timedelta, earth_elevation_threshold_deg: float = 2.0, sunlight_fraction_threshold: float = 0.2, bins: int = 1440) -> DataFrame:
+    """row, col, month and hours of `runs.safe_haven`, at the times that both bodies have.
+
+    With bounded vectors a cell's two series are made and judged in one place and only its months leave it: no shuffle.
+    """
+    hours = step / timedelta(hours=1)
+    if bounded(sun_vectors) and bounded(earth_vectors):
+        return _havens_in_place(cells, sun_vectors, earth_vectors, grid, hours, earth_elevation_threshold_deg, sunlight_fraction_threshold)
     light = sunlight(cells, sun_vectors, grid, bins=bins).withColumnRenamed("value", "fraction")
     earth = body_elevation(cells, earth_vectors, grid, bins=bins).withColumnRenamed("value", "earth")
-    return runs.safe_haven(light.join(earth, ["ts", "row", "col"]), sunlight_threshold=sunlight_fraction_threshold, earth_threshold=earth_elevation_threshold_deg, step_hours=step / timedelta(hours=1))
+    return runs.safe_haven(light.join(earth, ["ts", "row", "col"]), sunlight_threshold=sunlight_fraction_threshold, earth_threshold=earth_elevation_threshold_deg, step_hours=hours)
 
 
 # Point functions

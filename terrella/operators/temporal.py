@@ -269,6 +269,16 @@ def from_temporal_cube(spark: SparkSession, times_, values, grid: Grid, *, nodat
     return TemporalRaster(out.select("ts", "row", "col", "value", "valid"), grid, d, units, name)
 
 
+def to_temporal_cube(t: TemporalRaster) -> tuple[list[datetime], np.ndarray, np.ndarray]:
+    """Times, values and validity as (time, row, col) arrays: the inverse of `from_temporal_cube`, for series that fit the driver."""
+    moments = [r["us"] for r in t.axis().select(F.unix_micros("ts").alias("us")).orderBy("us").collect()]
+    layers = [Raster(t.df.filter(F.unix_micros("ts") == us).select("row", "col", "value", "valid"), t.grid, t.dtype, "value", "valid", t.units, t.name).collect() for us in moments]
+    shape = (0, t.grid.height, t.grid.width)
+    values = np.stack([v for v, _ in layers]) if layers else np.empty(shape, t.dtype)
+    valid = np.stack([m for _, m in layers]) if layers else np.empty(shape, bool)
+    return [datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us) for us in moments], values, valid
+
+
 def densified(df: DataFrame, axis_: DataFrame, grid: Grid) -> DataFrame:
     """Every cell at every time; value is NULL where the table has none."""
     cells = grid.cells(df.sparkSession).crossJoin(F.broadcast(axis_.select("ts")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import posixpath
 import urllib.request
 from dataclasses import dataclass
@@ -141,27 +143,41 @@ class Scenario:
         passes += [horizon.generate_horizons(r.cells(), r.grid, maximum_m=maximum_m, observer_height=observer_height_m) for r in surrounding]
         tiles.write_store(passes[0] if len(passes) == 1 else horizon.merge_passes(passes), self.horizons_path(), observer_decimeters=int(observer_height_m * 10))
 
-    def _product(self, made: DataFrame, output: str, resume: bool) -> str:
+    def _identity(self, product: str, observer_height_m: float, made_of: dict) -> str:
+        """A digest of a product's name, terrain, options and the contents of its tables."""
+
+        def told(x):
+            if not isinstance(x, DataFrame):
+                return str(x)
+            columns = sorted(x.columns)
+            r = x.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).first()
+            return [columns, r["n"], str(r["h"])]
+
+        terrain = rasters.read_meta(self.spark, self.dem_path())
+        text = json.dumps([product, observer_height_m, terrain, {k: told(v) for k, v in made_of.items()}], sort_keys=True, default=str)
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def _product(self, product: str, made: DataFrame, output: str, resume: bool, observer_height_m: float, **made_of) -> str:
         target = self.output_path(output)
-        rasters.write_product(made, target, resume=resume)
+        rasters.write_product(made, target, resume=resume, identity=self._identity(product, observer_height_m, made_of))
         return target
 
     def lightmap(self, output: str, *, sun_vectors: DataFrame, observer_height_m: float = 0.0, resume: bool = True) -> str:
-        return self._product(products.lightmap(self._cells(observer_height_m), sun_vectors, self.grid), output, resume)
+        return self._product("lightmap", products.lightmap(self._cells(observer_height_m), sun_vectors, self.grid), output, resume, observer_height_m, vectors=sun_vectors)
 
     def psr(self, output: str, *, sun_vectors: DataFrame, observer_height_m: float = 0.0, resume: bool = True) -> str:
-        return self._product(products.psr(self._cells(observer_height_m), sun_vectors, self.grid), output, resume)
+        return self._product("psr", products.psr(self._cells(observer_height_m), sun_vectors, self.grid), output, resume, observer_height_m, vectors=sun_vectors)
 
     def sun_elevation(self, output: str, *, sun_vectors: DataFrame, observer_height_m: float = 0.0, resume: bool = True) -> str:
-        return self._product(products.body_elevation(self._cells(observer_height_m), sun_vectors, self.grid), output, resume)
+        return self._product("elevation", products.body_elevation(self._cells(observer_height_m), sun_vectors, self.grid), output, resume, observer_height_m, vectors=sun_vectors)
 
     earth_elevation = sun_elevation
 
     def safe_havens(self, output: str, *, sun_vectors: DataFrame, earth_vectors: DataFrame, step: timedelta, observer_height_m: float = 0.0, resume: bool = True, **thresholds) -> str:
-        return self._product(products.safe_havens(self._cells(observer_height_m), sun_vectors, earth_vectors, self.grid, step=step, **thresholds), output, resume)
+        return self._product("safe_havens", products.safe_havens(self._cells(observer_height_m), sun_vectors, earth_vectors, self.grid, step=step, **thresholds), output, resume, observer_height_m, sun=sun_vectors, earth=earth_vectors, step=step, **thresholds)
 
     def mission_duration(self, output: str, *, axis: DataFrame, intervals: DataFrame, stop, observer_height_m: float = 0.0, resume: bool = True, **conditions) -> str:
-        return self._product(products.mission_duration_from(self._cells(observer_height_m), self.grid, axis, intervals, stop=stop, **conditions), output, resume)
+        return self._product("mission_duration", products.mission_duration_from(self._cells(observer_height_m), self.grid, axis, intervals, stop=stop, **conditions), output, resume, observer_height_m, axis=axis, intervals=intervals, stop=stop, **conditions)
 
 
 def open_scenario(spark: SparkSession, root: str) -> Scenario:

@@ -293,12 +293,30 @@ def write_geotiff(filename: str, raster: Raster, *, overwrite: bool = False) ->
 # Products written patch by patch
 
 
-def write_product(product: DataFrame, path: str, *, patch: int = 128, resume: bool = True) -> int:
-    """Write a product (row, col, ..) one partition a patch; patches that an earlier run committed are left out. Returns how many were."""
+def _claimed(spark: SparkSession, path: str, identity: str | None, resume: bool) -> None:
+    """A product's folder belongs to the identity that it was begun with; another one may not add patches to it."""
+    note = f"{path}/_identity"
+    if exists(spark, path):
+        if not resume:
+            raise StorageError("The output exists.", code="output_exists", details={"path": path})
+        held = spark.read.text(note).first() if exists(spark, f"{note}/_SUCCESS") else None
+        if (held["value"] if held else None) != identity:
+            raise StorageError("The output was made of something else.", code="foreign_output", details={"path": path})
+    elif identity is not None:
+        spark.createDataFrame([(identity,)], "value string").coalesce(1).write.text(note)
+
+
+def write_product(product: DataFrame, path: str, *, patch: int = 128, resume: bool = True, identity: str | None = None) -> int:
+    """Write a product (row, col, ..) one partition a patch; patches that an earlier run committed are left out. Returns how many were.
+
+    identity: a digest of what the product is made of. A folder begun with one is not resumed with another, or with none.
+    """
     spark = product.sparkSession
     patched = product.withColumn("patch_row", F.expr(f"row div {patch}")).withColumn("patch_col", F.expr(f"col div {patch}"))
     done = 0
-    if resume and exists(spark, path):
+    _claimed(spark, path, identity, resume)
+    fs, p = _fs(spark, path)
+    if exists(spark, path) and any(f.getPath().getName().startswith("patch_row=") for f in fs.listStatus(p)):
         committed = spark.read.parquet(path).select("patch_row", "patch_col").distinct()
         done = committed.count()
         patched = patched.join(F.broadcast(committed), ["patch_row", "patch_col"], "left_anti")
@@ -306,6 +324,27 @@ def write_product(product: DataFrame, path: str, *, patch: int = 128, resume: bo
     return done
 
 
+# Stored pyramids
+
+
+def write_pyramid(path: str, pyramid: DataFrame, grid: Grid, *, factor: int = 4, overwrite: bool = False) -> None:
+    """Store the levels of `horizon.max_pyramid`, one partition a level. Metadata goes last, so an unfinished one is never read."""
+    spark = pyramid.sparkSession
+    if exists(spark, path):
+        if not overwrite:
+            raise StorageError("The output exists.", code="output_exists", details={"path": path})
+        remove(spark, path)
+    pyramid.repartition("level").write.partitionBy("level").parquet(f"{path}/cells")
+    _write_meta(spark, path, {"height": grid.height, "width": grid.width, "factor": factor})
+
+
+def read_pyramid(spark: SparkSession, path: str, grid: Grid, *, factor: int = 4) -> DataFrame:
+    """level, row, col and zmax of a stored pyramid of a grid of this shape, by this factor."""
+    if read_meta(spark, path) != {"height": grid.height, "width": grid.width, "factor": factor}:
+        raise StorageError("The pyramid belongs to another grid or factor.", code="pyramid_mismatch", details={"path": path})
+    return spark.read.schema("row int, col int, zmax float, level int").parquet(f"{path}/cells").select("level", "row", "col", "zmax")
+
+
 def with_missing_patches(product: DataFrame, grid: Grid) -> DataFrame:
     """Every cell of the grid; those without a product row have NULL and valid = false."""
     value = [c for c in product.columns if c not in ("row", "col")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrella.errors import EngineError, OperationError, StorageError
 from terrella.functions import text
 from terrella.grid import Grid, Stereographic, enumerate_windows
-from terrella.operators import temporal
+from terrella.operators import horizon, temporal
 from terrella.plans import expression as ex
 from terrella.plans import registry
 from terrella.raster import Raster
@@ -47,10 +47,35 @@ def test_resume_leaves_out_what_is_there(spark, raster, tmp_path):
     assert rasters.write_product(product.filter("row < 2"), path, patch=2) == 0
     assert rasters.write_product(product, path, patch=2) == 3
     assert spark.read.parquet(path).count() == 20
+    with pytest.raises(StorageError):
+        rasters.write_product(product, path, patch=2, resume=False)
     missing = rasters.with_missing_patches(product.filter("row > 0"), G)
     assert missing.filter("NOT valid").count() == 5
 
 
+def test_patches_of_another_product_are_refused(spark, raster, tmp_path):
+    path = f"file://{tmp_path}/p"
+    product = raster.cells().select("row", "col", "value")
+    rasters.write_product(product.filter("row < 2"), path, patch=2, identity="a")
+    for other in ("b", None):
+        with pytest.raises(StorageError):
+            rasters.write_product(product, path, patch=2, identity=other)
+    assert rasters.write_product(product, path, patch=2, identity="a") == 3
+    assert spark.read.parquet(path).count() == 20
+
+
+def test_stored_pyramid(spark, raster, tmp_path):
+    path = f"file://{tmp_path}/pyramid"
+    pyramid = horizon.max_pyramid(raster.cells(), G)
+    rasters.write_pyramid(path, pyramid, G)
+    assert sorted(map(tuple, rasters.read_pyramid(spark, path, G).collect())) == sorted(map(tuple, pyramid.collect()))
+    with pytest.raises(StorageError):
+        rasters.read_pyramid(spark, path, G, factor=2)
+    with pytest.raises(StorageError):
+        rasters.write_pyramid(path, pyramid, G)
+    rasters.write_pyramid(path, pyramid, G, overwrite=True)
+
+
 @pytest.mark.parametrize("dtype", ["uint8", "int16", "uint32", "int64", "uint64", "float32", "float64"])
 def test_tiff(spark, tmp_path, dtype):
     values = (np.arange(150 * 7).reshape(150, 7) % 200).astype(dtype)

@@ -170,6 +170,7 @@ def test_series_reduced_in_place_agree_with_tables(spark, monkeypatch):
             sorted(map(tuple, products.mission_duration_from(cells, g, axis, iv, sunlight_fraction_threshold=0.5, earth_elevation_threshold_deg=-0.5, **common).collect())),
             sorted(map(tuple, products.mission_duration_from(cells, g, axis, iv, sun_elevation_threshold_deg=0.0, output_unit="days", **common).collect())),
             sorted((r["ts"], r["row"], r["col"], r["value"]) for r in products.lightmap(cells, vectors[0], g, bins=64).collect()),
+            sorted((r["row"], r["col"], r["month"], str(r["hours"])) for f in (0.2, 0.9) for r in products.safe_havens(cells, vectors[0], vectors[1].filter(F.col("ts") > F.lit(T0 + timedelta(hours=3))), g, step=timedelta(hours=1), sunlight_fraction_threshold=f, earth_elevation_threshold_deg=-0.5, bins=64).collect()),
         )
 
     fast = made()
@@ -212,3 +213,15 @@ def test_vectors_between_samples(spark):
         ephemeris.resolve_vectors("sun", axis, explicit=table)
     with pytest.raises(Exception):
         ephemeris.vectors_of(table, "Mars")
+
+
+def test_run_lengths():
+    assert disk.run_lengths(np.array([1, 1, 0, 1, 0, 0, 1, 1, 1], bool)).tolist() == [2, 2, 0, 1, 0, 0, 3, 3, 3]
+    assert disk.run_lengths(np.array([], bool)).tolist() == []
+
+
+def test_cube_there_and_back(series):
+    moments, values, valid = temporal.to_temporal_cube(series)
+    assert moments == [T0 + timedelta(hours=i) for i in range(3)]
+    assert valid.tolist() == (LAYERS != -99).tolist()
+    np.testing.assert_array_equal(values[valid], LAYERS[valid])
