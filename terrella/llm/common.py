@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder and runs in one process, as in tests.
@@ -77,3 +77,22 @@ def batches(rows: Iterator[pa.RecordBatch], each: int, of: str) -> Iterator[pa.R
 
 def _bytes(column: pa.Array, at: int, step: int) -> int:
     return column.slice(at, step).nbytes
+
+
+def text_key() -> Column:
+    """What tells the texts of rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that are the first of their group (doc_id, text_key, root) by doc_id and text. Rows without doc_id stay."""
+    first = groups.filter("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("m"))
+    first = written(first.select("m.doc_id", "m.text_key"), "groups-first")
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    kept = docs.join(first, (docs["doc_id"].cast("long") == first["doc_id"]) & (key == first["text_key"]), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count():
+        name = "_text_key"
+        while name in docs.columns:
+            name += "_"
+        kept = kept.withColumn(name, text_key()).dropDuplicates(["doc_id", name]).drop(name)
+    return kept.unionAll(docs.filter("doc_id IS NULL"))

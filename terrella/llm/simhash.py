@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrella.llm.common import batches, bits_for, text_of, written
+from terrella.llm.common import batches, bits_for, first_of_groups, text_key, text_of, written
 from terrella.llm.components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -53,15 +53,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> bytes:
     return np.packbits(votes * 2 > len(bits)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed 64-bit number) of every row, and its text_key if asked for."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, 4_000_000, "text"):
             fp = np.frombuffer(b"".join([fingerprint(t, shingle) for t in text_of(batch.column(1))]), ">i8").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    key = [text_key().alias("text_key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key).mapInArrow(run, "doc_id long, fp long" + ", text_key long" * keyed)
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -198,16 +199,20 @@ def links(fps: DataFrame, rows: int, *, radius: int = RADIUS, shard: int = SHARD
     return routed.groupBy("shard").applyInArrow(within, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) of every row."""
-    marked = written(fingerprints(docs, shingle), "simhash")
+def grouped(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD, keyed: bool = False) -> DataFrame:
+    """doc_id, fp, root (equal within a component), component_id (the smallest doc_id reachable) of every row, and its text_key if asked for."""
+    marked = written(fingerprints(docs, shingle, keyed), "simhash")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     forest = written(links(distinct, distinct.count(), radius=radius, shard=shard), "simhash-links")
     roots = components(forest)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """doc_id, fp, component_id of every row."""
+    return grouped(docs, shingle=shingle, radius=radius, shard=shard).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str) -> F.Column:
@@ -215,12 +220,8 @@ def hex_of(fp: str) -> F.Column:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, all columns, that are the first of their component; of rows of one doc_id one stays. Rows without doc_id stay."""
-    found = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionAll(docs.filter("doc_id IS NULL"))
+    """The rows of `docs`, all columns, that are the first of their component by doc_id and text. Rows without doc_id stay."""
+    return first_of_groups(docs, grouped(docs, keyed=True, **options))
 
 
 def op4_simhash(spark, sf_dir):

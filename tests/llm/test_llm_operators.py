@@ -261,6 +261,12 @@ def test_one_of_each_group_stays(docs, rows):
     assert ids == sorted(set(groups.values()))
 
 
+def test_two_texts_of_one_id_are_told_apart(spark):
+    rows = [(5, "one two three four five"), (7, "one two three four five"), (7, "six seven eight nine ten"), (7, "six seven eight nine ten"), (8, "Six seven eight nine ten"), (None, "one two three four five")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[5]], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
