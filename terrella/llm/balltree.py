@@ -30,8 +30,8 @@ from terrella.llm.common import bits_for, written
 SHARD, LEAF, QUERIES = 16_384, 96, 8_192
 #: Coarse balls at most (a power of two), and vectors of the sample that their centres come from. Both bound what the driver holds.
 COARSE, SAMPLE = 1_024, 16_384
-#: Rows of one batch of routed queries.
-ROUTED = 4_096
+#: Vectors that are held against all coarse balls at once, and rows of one batch of routed queries.
+HELD, ROUTED = 256, 4_096
 
 
 def reach(queries: np.ndarray, length: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
@@ -182,11 +182,15 @@ class CoarseBalls:
         return np.repeat(at, times), np.repeat(self.first[ball], times) + part
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, HELD) for batch in batches for at in range(0, batch.num_rows, HELD))
+
+
 def _dealt(rows: DataFrame, balls: CoarseBalls, width: int) -> DataFrame:
     """`rows` with their ball and their distance from its centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             ball, away = balls.nearest(_matrix(pa.chunked_array([batch.column("v")]), width))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball.astype(np.int64)), pa.array(away)], [*batch.schema.names, "ball", "away"])
 
@@ -197,7 +201,7 @@ def _routed(asked: DataFrame, balls: CoarseBalls, width: int, first: bool) -> Da
     """A row of `asked` (vec_id, qkey, v, floor) for each shard that it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             floor = np.nan_to_num(batch.column("floor").to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
             at, shard = balls.visits(_matrix(pa.chunked_array([batch.column("v")]), width), None if first else floor)
             for a in range(0, len(at), ROUTED):
