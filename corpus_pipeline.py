@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrella.llm import common, minhash, packing, quality, substrings
+from terrella.llm import common, nearcopies, packing, quality, substrings
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, Jaccard similarity of 0.8 or more."""
-    return minhash.deduplicated(docs)
+    """One document of each group of near copies: SimHash of five-word shingles, held to a Jaccard similarity of 0.8 or more."""
+    return nearcopies.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,7 +132,11 @@ def apart(sets: DataFrame, stars: DataFrame) -> DataFrame:
     own = Window.partitionBy("node")
     prefix = shingles.join(often, "shingle").withColumn("at", F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own))
     prefix = prefix.filter(F.col("at") <= F.col("size") - F.ceil(SIMILAR * F.col("size") - 1e-9) + 1)
-    prefix = written(prefix.join(stars, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")), "minhash-prefixes")
+    return meeting(written(prefix.join(stars, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")), "minhash-prefixes"))
+
+
+def meeting(prefix: DataFrame) -> DataFrame:
+    """The pairs (node, other) of different groups that share a shingle of `prefix` (shingle, node, size, at, root), and whose sizes and places fit."""
     shared = prefix.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     # Sizes of one class differ by less than a factor of SIMILAR, so a set's larger partners are in its own class or the next.
     scale = F.log(F.col("size").cast("double")) / -math.log(SIMILAR)
