@@ -3,16 +3,16 @@
 A text stands for the set of its shingles of five words. Two texts are near copies if their sets' Jaccard similarity is 0.8 or
 more, and every link is an exact comparison of two sets.
 
-1. SimHash: fingerprints of five-word shingles meet in the vantage-point trees of `simhash`. Texts of one fingerprint, and of two within the
-   radius, are compared.
+1. SimHash: fingerprints of five-word shingles meet in the vantage-point trees of `simhash`. The texts of a component of its links are a bucket.
 2. At similarity 0.8 fingerprints of 64 bits differ in ten bits or so, beyond any radius that prunes. What they leave apart is found by
    the prefix filter, which misses nothing: in one order of all shingles, sets of similarity s share one among their first
-   n - ceil(s * n) + 1. In each such shingle's bucket every text that SimHash left apart from it is held against the one that meets most
-   others, so a group of any size is joined by about as many comparisons as it has texts; then all that are still apart and whose sizes fit meet.
+   n - ceil(s * n) + 1. Those that hold such a shingle are a bucket too. In each bucket every text is first held against the few that meet most
+   others, so a group of any size is joined by a few comparisons a text; then all that are still apart, share a shingle and fit in size meet.
 3. A pair that meets is compared by the sets' beginnings first: these already differ in more shingles than similar sets can in all if most of
    them do. Whole sets are fetched only for the rest.
 
-Shingles go by their hash, those that a sample finds often last; any order gives the same links. Components of all links are the groups.
+Shingles go by how many rows hold them, rare ones first; any order gives the same links. Blocks of texts ask hash buckets for these counts, so
+none is collected or broadcast. Components of all links are the groups.
 
 Cases: a null text counts as empty; texts of no words are copies of each other; one of fewer words than a shingle is one shingle; rows
 of equal sets are one node; rows without doc_id stay and speak for nobody; an empty table gives no rows.
@@ -20,51 +20,49 @@ of equal sets are one node; rows without doc_id stay and speak for nobody; an em
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrella.llm import simhash
-from terrella.llm.blocks import numbers_of, planes, released
+from terrella.llm.blocks import ASKED, BLOCK_BYTES, BUCKET_BYTES, Dealt, asked_of, asked_table, block_of, bytes_of, numbers_of, planes, released, shared_out
 from terrella.llm.common import batches, first_of_groups, text_key, text_of, written
 from terrella.llm.components import components
 from terrella.llm.minhash import SHINGLE, SIMILAR, compared, meeting, sets_of, shingle_sets
 from terrella.llm.wordhash import mixed
 
-#: Texts whose shingles are counted to find the common ones, the least count among them, and how many common ones are told to all tasks at most.
-SAMPLE, OFTEN, COMMON = 32_768, 4, 262_144
+#: Texts of a shingle's bucket and class of sizes that all others in it are held against, before all that are still apart meet.
+CENTRES = 8
 #: Entries of prefixes that a bucket of shingles gets on average.
 BUCKET = 400_000
-_HIGH, _PRIME = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def common_shingles(docs: DataFrame, rows: int, sample: int = SAMPLE) -> np.ndarray:
-    """Hashes of the shingles that most texts of a sample hold, the rarest of them first."""
+def shingled(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, all texts in a row, and where each text's begin and end."""
+    held, sizes = [], []
+    for chunk in batches(iter(pa.table({"text": texts}).to_batches()), 2_000_000, "text"):
+        hashes, cuts = shingle_sets(text_of(chunk.column(0)))
+        held.append(hashes)
+        sizes.append(np.diff(cuts))
+    return np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
-    def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(batches_, 2_000_000, "text"):
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(text_of(batch.column(0)))[0].view(np.int64))], ["shingle"])
 
-    share = int(min(1.0, sample / max(rows, 1)) * (1 << 30))
-    held = docs.filter(F.pmod(F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), text_key()), F.lit(1 << 30)) < share)
-    often = held.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
-    most = often.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    return most["shingle"].to_numpy().astype(np.int64).view(np.uint64)[::-1]
+def ordered(hashes: np.ndarray, cuts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Numbers of each text's shingles in ascending order: by how many texts hold a shingle, then by its hash. Two of one number only make more texts meet."""
+    keys = np.minimum(count, (1 << 20) - 1).astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20)
+    return keys[np.lexsort((keys, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))))]
 
 
-def ordered(hashes: np.ndarray, cuts: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Numbers of each text's shingles in ascending order: the common ones have the highest bit."""
-    keys = hashes >> np.uint64(1)
-    if len(common):
-        by_hash = np.argsort(common)
-        at = np.minimum(np.searchsorted(common, hashes, sorter=by_hash), len(common) - 1)
-        found = common[by_hash[at]] == hashes
-        keys[found] = _HIGH + by_hash[at[found]].astype(np.uint64)
-    return keys[np.lexsort((keys, np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))))]
+def add_up(group: pa.Table) -> pa.Table:
+    """Answer each block with the sums over all blocks."""
+    keys, values, size = asked_of(group)
+    _, at = np.unique(keys, return_inverse=True)
+    return pa.table({"block": group["block"], "part": group["part"], "found": shared_out(np.bincount(at, values[0]).astype(np.int64)[at][None], size)})
 
 
 def prefix_sizes(size: np.ndarray) -> np.ndarray:
@@ -72,25 +70,32 @@ def prefix_sizes(size: np.ndarray) -> np.ndarray:
     return size - -(-size * round(SIMILAR * 10) // 10) + 1
 
 
-def marked(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def marked(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, text_key, node (a hash of the shingle set), fp (the fingerprint), size of the set and its prefix of every row."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows, 2_000_000, "text"):
-            if not batch.num_rows:
-                continue
-            texts = text_of(batch.column(2))
-            hashes, cuts = shingle_sets(texts)
-            size = np.diff(cuts)
-            index = np.arange(len(hashes)) - np.repeat(cuts[:-1], size)
-            node = mixed(np.add.reduceat(mixed(hashes + index.astype(np.uint64) * _PRIME), cuts[:-1])).view(np.int64)
-            fp = np.frombuffer(b"".join([simhash.fingerprint(t, SHINGLE) for t in texts]), ">i8").astype(np.int64)
-            keys = ordered(hashes, cuts, common)
-            prefix = pa.array([keys[a : a + n].tobytes() for a, n in zip(cuts[:-1], prefix_sizes(size), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int64)), prefix], ["doc_id", "text_key", "node", "fp", "size", "prefix"])
-
-    schema = "doc_id long, text_key long, node long, fp long, size long, prefix binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text").mapInArrow(run, schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    size = bytes_of(own, "text")
+    blocks, buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
+    blocked = own.withColumn("block", block_of("doc_id", "text", blocks)).repartition("block")
+
+    def ask(group: pa.Table) -> pa.Table:
+        keys, count = np.unique(shingled(group["text"])[0], return_counts=True)
+        return asked_table(Dealt(keys, buckets).asked(group["block"][0].as_py(), 0, count.astype(np.int64)))
+
+    def mark(group: pa.Table, answers: pa.Table) -> pa.Table:
+        hashes, cuts = shingled(group["text"])
+        distinct, at = np.unique(hashes, return_inverse=True)
+        found = dict(zip(answers["part"].to_pylist(), answers["found"].to_pylist(), strict=True))
+        keys = ordered(hashes, cuts, Dealt(distinct, buckets).answered(found, 0, 1)[0][at])
+        size = np.diff(cuts)
+        index = np.arange(len(hashes)) - np.repeat(cuts[:-1], size)
+        node = mixed(np.add.reduceat(mixed(hashes + index.astype(np.uint64) * _PRIME), cuts[:-1])).view(np.int64)
+        fp = np.frombuffer(b"".join([simhash.fingerprint(t.as_py(), SHINGLE) for t in group["text"]]), ">i8").astype(np.int64)
+        prefix = pa.array([keys[a : a + n].tobytes() for a, n in zip(cuts[:-1], prefix_sizes(size), strict=True)], pa.binary())
+        return pa.table({"doc_id": group["doc_id"], "text_key": group["text_key"], "node": pa.array(node), "fp": pa.array(fp), "size": pa.array(size.astype(np.int64)), "prefix": prefix})
+
+    counts = written(blocked.groupBy("block").applyInArrow(ask, ASKED).groupBy("part").applyInArrow(add_up, "block long, part long, found binary"), "near-counts")
+    released()
+    return blocked.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(mark, "doc_id long, text_key long, node long, fp long, size long, prefix binary")
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -146,8 +151,7 @@ def hopeful(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = min(x[-1], y[-1])
                 x, y = x[: np.searchsorted(x, last, side="right")], y[: np.searchsorted(y, last, side="right")]
                 # Similar sets differ in at most (1 - s) / (1 + s) of both sizes together.
-                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y))
-                fits = apart <= (1 - SIMILAR) / (1 + SIMILAR) * (sx + sy) + 1e-9
+                fits = len(np.setxor1d(x, y)) <= (1 - SIMILAR) / (1 + SIMILAR) * (sx + sy) + 1e-9
             good.append(fits)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node", "other"]).filter(pa.array(good, pa.bool_()))
 
@@ -165,9 +169,9 @@ def linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, step: str) -> Da
     return compared(left, sets)
 
 
-def near_copies(docs: DataFrame, *, sample: int = SAMPLE, bucket: int = BUCKET) -> DataFrame:
+def near_copies(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, bucket: int = BUCKET) -> DataFrame:
     """doc_id, text_key and root (equal within a group) of every row."""
-    rows = written(marked(docs, common_shingles(docs, docs.count(), sample)), "near")
+    rows = written(marked(docs, block_bytes=block_bytes, bucket_bytes=bucket_bytes), "near")
     nodes = rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "text_key")).alias("row"))
     nodes = written(nodes, "near-nodes")
     released()
@@ -176,11 +180,18 @@ def near_copies(docs: DataFrame, *, sample: int = SAMPLE, bucket: int = BUCKET)
     entries = nodes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("b")).first()["b"] // 8
     members = written(shared_prefixes(nodes, entries, bucket), "near-members")
     released()
-    facts = members.groupBy("node").agg(F.sum("n").alias("met")).join(guess, "node", "left").select("node", "met", F.coalesce("root", "node").alias("root"))
-    met = written(members.select("shingle", "node").join(facts, "node"), "near-met")
-    chosen = met.groupBy("shingle").agg(F.max(F.struct("met", "node", "root")).alias("m")).select("shingle", F.col("m.node").alias("other"), F.col("m.root").alias("its"))
-    # What SimHash holds to be one group need not meet here; if the comparison breaks that group up, the next step finds its links.
-    held = met.join(chosen, "shingle").filter("node <> other AND root <> its").select("node", "other").distinct()
+    # A component of SimHash's links is one more bucket: its ends may be too far apart, but those in it are candidates.
+    roots = guess.unionAll(guess.select(F.col("root").alias("node"), "root").distinct())
+    buckets = members.select("shingle", "node", "size").unionAll(roots.join(nodes, "node").select(F.col("root").alias("shingle"), "node", "size"))
+    facts = members.groupBy("node").agg(F.sum("n").alias("met"))
+    # Classes of sizes as in `meeting`: a text meets the centres of its own class and of the next.
+    scale = F.log(F.col("size").cast("double")) / -math.log(SIMILAR)
+    met = written(buckets.join(facts, "node", "left").select("shingle", "node", "size", F.coalesce("met", F.lit(0)).alias("met")).withColumn("class", F.floor(scale)), "near-met")
+    most = Window.partitionBy("shingle", "class").orderBy(F.desc("met"), "node")
+    chosen = met.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= CENTRES).select("shingle", "class", F.col("node").alias("other"), F.col("size").alias("its_size"))
+    asking = met.withColumn("class", F.explode(F.sequence(F.floor(scale - 1e-9), F.floor(scale + 1 + 1e-9))))
+    fits = (F.least("size", "its_size") >= SIMILAR * F.greatest("size", "its_size") - 1e-9) & F.expr("node <> other")
+    held = asking.join(chosen, ["shingle", "class"]).filter(fits).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct()
     first = linked(docs, nodes, close.unionAll(held).distinct(), "first")
     released()
     stars = written(components(first), "near-stars")

@@ -62,13 +62,13 @@ def test_stage_links_by_fingerprints_in_trees(spark, monkeypatch):
 
 
 def test_links_of_any_order_of_shingles(spark):
-    """With many, few or no common shingles known, in one bucket or many, the groups are those of all pairs."""
+    """In one block and bucket or many, the groups are those of all pairs."""
     from terrella.llm import nearcopies
 
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = groups(texts)
-    for options in ({"sample": 0}, {"sample": 40, "bucket": 500}):
+    for options in ({}, {"block_bytes": 20_000, "bucket_bytes": 30_000, "bucket": 500}):
         root = {r["doc_id"]: r["root"] for r in nearcopies.near_copies(docs, **options).collect()}
         least = {}
         for i in range(len(texts)):
@@ -76,21 +76,17 @@ def test_links_of_any_order_of_shingles(spark):
         assert [least[root[i]] for i in range(len(texts))] == want
 
 
-def test_one_prefix_of_common_shingles(spark):
-    """Common shingles come last, so texts that only share a passage do not meet."""
-    from terrella.llm import minhash, nearcopies
+def test_shared_passages_come_last(spark):
+    """Texts that only share a passage do not meet, also where few of all texts hold it."""
+    from terrella.llm import nearcopies
 
     rng = np.random.default_rng(3)
-    shared = " ".join(f"p{i}" for i in range(40))
-    texts = [f"{shared} {' '.join(f'u{x}' for x in rng.integers(0, 10**9, 80))}" for _ in range(60)]
+    own = lambda: " ".join(f"u{x}" for x in rng.integers(0, 10**9, 80))
+    texts = [f"{' '.join(f'p{i // 3}x{k}' for k in range(40))} {own()}" for i in range(60)]  # each passage in three texts
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    common = nearcopies.common_shingles(docs, 60)
-    assert len(common) == 36
-    hashes, cuts = minhash.shingle_sets(texts)
-    keys = nearcopies.ordered(hashes, cuts, common)
-    size = np.diff(cuts)
-    prefixes = [keys[a : a + n].tolist() for a, n in zip(cuts[:-1], nearcopies.prefix_sizes(size), strict=True)]
-    assert size.tolist() == [116] * 60 and {len(p) for p in prefixes} == {116 - 93 + 1}
+    rows = nearcopies.marked(docs, block_bytes=4_000, bucket_bytes=4_000).collect()
+    prefixes = [np.frombuffer(r["prefix"], np.uint64).tolist() for r in rows]
+    assert [r["size"] for r in rows] == [116] * 60 and {len(p) for p in prefixes} == {116 - 93 + 1}
     assert max(Counter(x for p in prefixes for x in p).values()) == 1
 
 
