@@ -36,7 +36,7 @@ class Dealt:
     """Keys in ascending order, cut into buckets by their highest bits."""
 
     def __init__(self, keys: np.ndarray, buckets: int):
-        self.buckets, self.order = buckets, np.argsort(keys, kind="stable")
+        self.buckets, self.order = buckets, np.argsort(keys)
         self.keys = keys[self.order]
         bucket = (self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.array([], np.int64)

@@ -5,7 +5,7 @@ what the discount frees goes to unseen words, whose number is estimated from the
 triples seen twice or more in training become states and arcs of an automaton, at every size of the input; each order's discount
 comes from how many of its grams were seen once and twice, counted before any is left out (of triples, those of two kept pairs). The
 probability that a history's arcs leave over goes down a failure arc to the next shorter history, normalised by what that history
-gives to the words left. One left-to-right traversal of a text carries the state and adds up log10 probabilities.
+gives to the words left. A text's score is the sum of the log10 probabilities along its path; the state after a token follows from its last two words.
 
 No part of the model is collected or broadcast: it grows with the input and stays dealt out. Texts are grouped into blocks of
 bounded size. A block sends its distinct words and pairs, and then the triples made of two kept pairs, with their training counts to buckets of their hashes, and each
@@ -70,7 +70,7 @@ ANSWERED = "block long, part long, found binary, total long, kinds long, ones lo
 def add_up(group: pa.Table) -> pa.Table:
     """Each block's keys with the sums over all blocks; counts are doubled, and odd where the block is the key's owner. Facts of the first sums on the first row."""
     keys, values, size = asked_of(group)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.concatenate([[True], np.diff(keys[order]) != 0])
     at = np.flatnonzero(new)
     sums = np.add.reduceat(values[:, order], at, axis=1)
@@ -126,6 +126,9 @@ class Block:
         at = np.flatnonzero(~self.first[1:] & kept[1:] & kept[:-1]) + 1
         triples, which = np.unique(self.pair[at - 1] * len(self.words) + self.token[at], return_inverse=True)
         self.history, self.w = triples // len(self.words), triples % len(self.words)
+        #: The triple that ends at each token; -1: none.
+        self.triple = np.full(len(self.token), -1)
+        self.triple[at] = which
         #: The pair that ends each triple.
         self.shorter = np.zeros(len(triples), np.int64)
         self.shorter[which] = self.pair[at]
@@ -212,17 +215,22 @@ class Automaton:
         self.root_next = np.array([0, *(self.arcs[w][1] for w in range(1, base))], np.int64)
         self.fail, self.weight, self.fall = np.array(self.fail), np.array(self.weight), np.array(self.fall)
 
+    def find(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The number of the arc of each word (0: not frequent) out of each state, -1 where there is none or the state is the empty history."""
+        if not len(self.keys):
+            return np.full(len(state), -1)
+        key = state * self.base + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((state > 0) & (word > 0) & (self.keys[at] == key), at, -1)
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Score and next state of reading a frequent word in each state: down failure arcs until one has an arc for it."""
         score, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
         left = np.arange(len(state))
         now = state
         while len(left):
-            w = word[left]
-            at_root = now == 0
-            key = now * self.base + w
-            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            hit = ~at_root & (self.keys[at] == key) if len(self.keys) else np.zeros(len(left), bool)
+            w, at = word[left], self.find(now, word[left])
+            at_root, hit = now == 0, at >= 0
             score[left[at_root]] += self.root_score[w[at_root]]
             after[left[at_root]] = self.root_next[w[at_root]]
             score[left[hit]] += self.arc_score[at[hit]]
@@ -232,42 +240,31 @@ class Automaton:
             left, now = left[miss], self.fail[now[miss]]
         return score, after
 
-    def read(self, words: np.ndarray, first: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        """The score of each token, left to right. words: numbers, 0 where not frequent; first: where texts begin; rare: scores of the others.
+    def read(self, words: np.ndarray, first: np.ndarray, rare: np.ndarray, arcs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The score of each token. words: numbers, 0 where not frequent; first: where texts begin; rare: scores of the others.
 
-        A word that is not frequent leaves the empty state behind it, and one that makes no arc with the word before leaves its own,
-        whatever was read before. So runs between such words are read side by side.
+        arcs: numbers of the arcs of each token's pair and triple, -1 where there is none; they are looked up if not given. The state after a
+        token is where its pair's arc leads, or else the root's, whatever was read before: arcs of longer histories lead to the same
+        state. So the states of all tokens are known at once, and each goes down its failure arcs by itself.
         """
-        out = np.where(words == 0, rare, 0.0)
-        before = np.concatenate([[0], self.root_next[words[:-1]]])
-        before[first] = self.start
-        key = before * self.base + words
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        arc = (before > 0) & (words > 0) & (self.keys[at] == key) if len(self.keys) else np.zeros(len(words), bool)
-        opens = first.copy()
-        opens[1:] |= ~arc[:-1]
-        begin = np.flatnonzero(opens)
-        stop = np.append(begin[1:], len(words))
-        state = before[begin]
-        order = np.argsort(begin - stop, kind="stable")
-        begin, state, size = begin[order], state[order], (stop - begin)[order]
-        j = 0
-        while len(begin):
-            at = begin + j
-            w = words[at]
-            frequent = w > 0
-            score, after = self.step(state[frequent], w[frequent])
-            out[at[frequent]] += score
-            out[at[~frequent]] += self.fall[state[~frequent]]
-            state[frequent] = after
-            j += 1
-            more = int(np.searchsorted(-size, -j, side="left"))
-            begin, state, size = begin[:more], state[:more], size[:more]
+        one = np.concatenate([[0], self.root_next[words[:-1]]])
+        one[first] = self.start
+        pair = self.find(one, words) if arcs is None else arcs[0]
+        after, hit = self.root_next[words], np.flatnonzero(pair >= 0)
+        after[hit] = self.arc_next[pair[hit]]
+        state = np.concatenate([[0], after[:-1]])
+        state[first] = self.start
+        long = state != one
+        triple = self.find(state, words) if arcs is None else arcs[1]
+        out = np.where(words > 0, self.root_score[words], rare) + np.where(long, self.weight[state] + self.weight[one], self.weight[one])
+        out[hit] = np.where(long[hit], self.weight[state[hit]], 0.0) + self.arc_score[pair[hit]]
+        hit = np.flatnonzero(long & (triple >= 0))
+        out[hit] = self.arc_score[triple[hit]]
         return out
 
 
-def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int, discount: float, cuts: tuple[float, float]) -> tuple[Automaton, np.ndarray]:
-    """The part of the automaton that a block's texts can reach, and the numbers of the block's words.
+def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int, discount: float, cuts: tuple[float, float]) -> tuple[Automaton, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The part of the automaton that a block's texts can reach, the numbers of the block's words, and the arcs of its tokens' pairs and triples.
 
     facts: of the block's words and pairs as histories, rows of number, counts and shorter counts of all their arcs.
     """
@@ -275,7 +272,7 @@ def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int,
     frequent, kept, kept3 = (np.flatnonzero(c >= least) for c in block.c)
     number = np.zeros(len(words), np.int64)
     number[frequent] = np.arange(1, len(frequent) + 1)
-    self.base = base = len(frequent) + 1
+    self.base = len(frequent) + 1
     one, two = (np.where(f[0] > 0, np.cumsum(f[0] > 0), 0) for f in facts)
     ones = int((one > 0).sum())
     two[two > 0] += ones
@@ -288,15 +285,16 @@ def automaton_of(block: Block, facts: list[np.ndarray], least: int, total: int,
         self.weight[state[at]] = np.log10(np.maximum(1 - high, 1e-12) / np.maximum(1 - low, 1e-12))
     self.fail[two[two > 0]] = one[block.b[two > 0]]
     after = np.where(two > 0, two, one[block.b])
-    keys = np.concatenate([one[block.a[kept]] * base + number[block.b[kept]], two[block.history[kept3]] * base + number[block.w[kept3]]])
-    score = np.concatenate([np.log10((pairs[kept] - cuts[0]) / words[block.a[kept]]), np.log10((triples[kept3] - cuts[1]) / pairs[block.history[kept3]])])
-    order = np.argsort(keys)
-    self.keys, self.arc_score, self.arc_next = keys[order], score[order], np.concatenate([after[kept], after[block.shorter[kept3]]])[order]
+    # Arcs of kept pairs, then of kept triples. A block knows them by its pairs and triples, so nothing is looked up by key.
+    self.keys = np.array([], np.int64)
+    self.arc_score = np.concatenate([np.log10((pairs[kept] - cuts[0]) / words[block.a[kept]]), np.log10((triples[kept3] - cuts[1]) / pairs[block.history[kept3]])])
+    self.arc_next = np.concatenate([after[kept], after[block.shorter[kept3]]])
+    pair, triple = np.full(len(pairs), -1), np.full(len(triples) + 1, -1)
+    pair[kept], triple[kept3] = np.arange(len(kept)), len(kept) + np.arange(len(kept3))
     self.root_score = np.concatenate([[0.0], np.log10((words[frequent] - discount) / max(total, 1))])
     self.root_next = np.concatenate([[0], one[frequent]])
     self.start = int(one[block.end])
-    self.fall = self.weight + self.weight[self.fail]
-    return self, number
+    return self, number, (pair[block.pair], triple[block.triple])
 
 
 def score_texts(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -365,12 +363,12 @@ def score_texts(docs: DataFrame, *, block_bytes: int = BLOCK_BYTES, bucket_bytes
         for order in (WORDS, PAIRS):
             at, dealt = block.histories(order, least)
             facts[order][:, at] = dealt.answered(found, HISTORIES + order, 3)
-        automaton, number = automaton_of(block, facts, least, total, discount, cuts)
+        automaton, number, arcs = automaton_of(block, facts, least, total, discount, cuts)
         count = block.c[WORDS][block.token]
         rare = np.where(count > 0, np.log10(np.maximum(count - discount, 1e-300) / max(total, 1)), new)
         plain = np.log10((count + 0.5) / (total + 0.5 * (kinds + 1)))
         at = np.flatnonzero(block.first)
-        model = automaton.read(number[block.token], block.first, rare)
+        model = automaton.read(number[block.token], block.first, rare, arcs)
         return pa.table({"doc_id": group["doc_id"], "held_out": group["held_out"], "n_tokens": pa.array(np.diff(np.append(at, len(count)))), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), "train_tokens": pa.array(np.full(len(at), total, np.int64)), "base_score": pa.array(np.add.reduceat(plain, at)), "score": pa.array(np.add.reduceat(model, at))})
 
     cuts = cut, discount_of(*summed(settled(told(ask_triples, ASKED)), TRIPLES)[2:])
